@@ -57,6 +57,18 @@ def split_url(url: Column) -> dict[str, Column]:
     return {name: F.when(bad, text("")).otherwise(col) for name, col in part.items()}
 
 
+def fenced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that filters are never pushed through.
+
+    A filter that moves below stacked projections has every column in it replaced by its
+    definition, at each level again, and grows exponentially. The output of a generator cannot be
+    replaced, so a one-element ``inline`` keeps filters on parsed parts above the parsing.
+    """
+    made = F.struct(*(col.alias(name) for name, col in columns.items()))
+    old = [c for c in df.columns if c not in columns]
+    return df.select(*old, F.inline(F.array(made)))
+
+
 def with_split(df: DataFrame, url: Column, prefix: str) -> DataFrame:
     """Add ``<prefix>scheme``, ``netloc``, ``path``, ``query`` and ``fragment`` columns.
 
@@ -96,7 +108,7 @@ def with_split(df: DataFrame, url: Column, prefix: str) -> DataFrame:
         for name in ("scheme", "netloc", "path", "query", "fragment")
     }
     final[prefix + "scheme"] = F.lower(final[prefix + "scheme"])
-    return staged.withColumns(final).drop(*(f"{prefix}_{name}" for name in c))
+    return fenced(staged, final).drop(*(f"{prefix}_{name}" for name in c))
 
 
 def has_port_suffix(netloc: Column) -> Column:
@@ -242,32 +254,12 @@ def split_domain(url: Column) -> Column:
     )
 
 
-def suffix_parts(host: Column) -> dict[str, Column]:
-    """Suffix, domain label and subdomain of a host against the whole suffix dimension."""
-    suffix = F.when(is_ip(host), text("")).otherwise(
-        F.coalesce(listed_suffix(host, K.ALL_SUFFIXES, whole=True), text(""))
-    )
-    front = (
-        F.when(is_ip(host) | (suffix == ""), host)
-        .when(suffix == host, text(""))
-        .otherwise(F.substring(host, F.lit(1), F.length(host) - F.length(suffix) - 1))
-    )
-    domain = F.when(is_ip(host), host).otherwise(last_label(front))
-    subdomain = F.when(is_ip(host), text("")).otherwise(
-        F.when(
-            F.contains(front, text(".")),
-            F.substring(front, F.lit(1), F.length(front) - F.length(domain) - 1),
-        ).otherwise(text(""))
-    )
-    return {"suffix": suffix, "domain": domain, "subdomain": subdomain}
-
-
 def with_suffix_parts(df: DataFrame, host: Column, prefix: str) -> DataFrame:
     """Add ``<prefix>suffix``, ``domain`` and ``subdomain`` of a host, each computed once per row."""
     lookup, is_address = F.col(prefix + "_lookup"), F.col(prefix + "_ip")
     suffix, front = F.col(prefix + "suffix"), F.col(prefix + "_front")
     domain = F.col(prefix + "domain")
-    return (
+    staged = (
         df.withColumns({prefix + "_lookup": host})
         .withColumns({
             prefix + "_ip": is_ip(lookup),
@@ -280,14 +272,14 @@ def with_suffix_parts(df: DataFrame, host: Column, prefix: str) -> DataFrame:
             .otherwise(F.substring(lookup, F.lit(1), F.length(lookup) - F.length(suffix) - 1))
         })
         .withColumns({prefix + "domain": F.when(is_address, lookup).otherwise(last_label(front))})
-        .withColumns({
-            prefix + "subdomain": F.when(
-                ~is_address & F.contains(front, text(".")),
-                F.substring(front, F.lit(1), F.length(front) - F.length(domain) - 1),
-            ).otherwise(text(""))
-        })
-        .drop(prefix + "_lookup", prefix + "_ip", prefix + "_front")
     )
+    subdomain = F.when(
+        ~is_address & F.contains(front, text(".")),
+        F.substring(front, F.lit(1), F.length(front) - F.length(domain) - 1),
+    ).otherwise(text(""))
+    return fenced(staged, {
+        prefix + "suffix": suffix, prefix + "domain": domain, prefix + "subdomain": subdomain,
+    }).drop(prefix + "_lookup", prefix + "_ip", prefix + "_front")
 
 
 def lenient_host(url: Column) -> Column:
@@ -300,17 +292,6 @@ def lenient_host(url: Column) -> Column:
     )
 
 
-def site_of_host(host: Column) -> Column:
-    """Registered site of a host: domain label plus suffix, else the domain, else the host."""
-    low = F.lower(host)
-    part = suffix_parts(low)
-    return (
-        F.when(part["domain"] == "", low)
-        .when(part["suffix"] == "", part["domain"])
-        .otherwise(F.concat(part["domain"], text("."), part["suffix"]))
-    )
-
-
 # --- flavours -----------------------------------------------------------------------------
 
 def read_as_http(url: Column) -> Column:
@@ -353,10 +334,15 @@ def norm_url(raw: Column) -> Column:
     return F.when(bare.rlike("(?i)^https?://"), bare)
 
 
+def last_word(line: Column) -> Column:
+    """What follows the last white space."""
+    return F.regexp_extract(line, f"([^{K.WHITESPACE_CLASS[1:-1]}]+)$", 1)
+
+
 def wrap_domain(raw: Column) -> Column:
     """Hosts-file or domain-list line to a URL, NULL when the line holds no plain domain."""
     line = strip(raw)
-    domain = F.lower(F.regexp_extract(line, r"(\S+)$", 1))
+    domain = F.lower(last_word(line))
     keep = (
         (line != "")
         & ~line.rlike("^[#!;]")
@@ -410,57 +396,88 @@ def remove_dot_segments(path: Column) -> Column:
 
     walked = F.aggregate(segments, F.array().cast("array<string>"), step)
     ends_open = F.element_at(segments, -1).isin(".", "..")
-    joined = F.array_join(F.when(ends_open, F.concat(walked, F.array(text("")))).otherwise(walked), "/")
-    return F.when(joined == "", text("/")).otherwise(joined)
+    kept = F.when(ends_open, F.concat(walked, F.array(text("")))).otherwise(walked)
+    joined = F.array_join(kept, "/")
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(text("/"), joined))
+
 
+def _mark(sign: str, col: Column) -> Column:
+    return F.when(col != "", F.concat(text(sign), col)).otherwise(text(""))
 
-def resolve(link: Column, base: Column) -> Column:
-    """Absolute form of a link found on the page ``base``."""
-    own, page = split_url(link), split_url(base)
-    root = F.concat(page["scheme"], text("://"), page["netloc"])
-    query = F.when(own["query"] != "", F.concat(text("?"), own["query"])).otherwise(text(""))
-    page_query = F.when(page["query"] != "", F.concat(text("?"), page["query"])).otherwise(text(""))
-    mark = F.when(own["fragment"] != "", F.concat(text("#"), own["fragment"])).otherwise(text(""))
+
+def with_resolved(df: DataFrame, link: str, base: str, out: str) -> DataFrame:
+    """Add the absolute form of a link found on the page ``base``, in stacked projections."""
+    own = {n: F.col("_o_" + n) for n in ("scheme", "netloc", "path", "query", "fragment")}
+    page = {n: F.col("_b_" + n) for n in own}
     folder = F.regexp_extract(page["path"], "^(.*)/[^/]*$", 1)
     # empty segments inside a relative path vanish when it is merged with the base path
     merged = F.regexp_replace(F.concat(folder, text("/"), own["path"]), "/{2,}", "/")
-    path = F.when(own["path"].startswith("/"), own["path"]).otherwise(merged)
-    return (
-        F.when(strip(link) == "", base)
-        .when((own["scheme"] != "") & (own["scheme"] != page["scheme"]), link)
-        .when(own["netloc"] != "",
-              F.concat(page["scheme"], text("://"), own["netloc"], own["path"], query, mark))
-        .when((own["path"] == "") & (own["query"] != ""),
-              F.concat(root, page["path"], query, mark))
-        .when(own["path"] == "", F.concat(root, page["path"], page_query, mark))
-        .otherwise(F.concat(root, remove_dot_segments(path), query, mark))
+    tail = F.concat(F.col("_o_q"), F.col("_o_f"))
+    staged = (
+        with_split(with_split(df, F.col(link), "_o_"), F.col(base), "_b_")
+        .withColumns({
+            "_root": F.concat(page["scheme"], text("://"), page["netloc"]),
+            "_o_q": _mark("?", own["query"]), "_o_f": _mark("#", own["fragment"]),
+            "_b_q": _mark("?", page["query"]),
+            "_full": F.when(own["path"].startswith("/"), own["path"]).otherwise(merged),
+        })
+        .withColumns({"_full": remove_dot_segments(F.col("_full"))})
+        .withColumns({
+            out: F.when(strip(F.col(link)) == "", F.col(base))
+            .when((own["scheme"] != "") & (own["scheme"] != page["scheme"]), F.col(link))
+            .when(own["netloc"] != "", F.concat(page["scheme"], text("://"), own["netloc"],
+                                                own["path"], tail))
+            .when((own["path"] == "") & (own["query"] != ""),
+                  F.concat(F.col("_root"), page["path"], tail))
+            .when(own["path"] == "", F.concat(F.col("_root"), page["path"], F.col("_b_q"), tail))
+            .otherwise(F.concat(F.col("_root"), F.col("_full"), tail))
+        })
     )
-
-
-def normalize_url(url: Column, base: Column | None = None) -> Column:
-    """Canonical form for link graphs: lower-case scheme and host, no user info, no fragment.
-
-    NULL unless the (resolved) URL is http(s) with a host and a sane port.
-    """
-    absolute = resolve(url, base) if base is not None else url
-    part = split_url(strip(absolute))
-    host, port = hostname(part["netloc"]), valid_port(part["netloc"])
-    path = F.regexp_replace(part["path"], ";$", "")
+    helpers = [p + n for p in ("_o_", "_b_") for n in own]
+    return staged.drop(*helpers, "_root", "_o_q", "_o_f", "_b_q", "_full")
+
+
+def with_normal_url(df: DataFrame, url: str, out: str, base: str | None = None) -> DataFrame:
+    """Add the canonical form for link graphs: absolute, lower-case scheme and host, no user info,
+    no fragment. NULL unless the URL is http(s) with a host and a sane port."""
+    source = url if base is None else "_abs"
+    if base is not None:
+        df = with_resolved(df, url, base, "_abs")
+    names = ("scheme", "netloc", "path", "query", "fragment")
+    part = {n: F.col("_n_" + n) for n in names}
     keep = (
-        (F.coalesce(url, text("")) != "")
-        & part["scheme"].isin("http", "https")
-        & (host != "")
-        & ~port_is_invalid(part["netloc"])
+        (F.coalesce(F.col(url), text("")) != "")
+        & part["scheme"].isin("http", "https") & (F.col("_host") != "") & ~F.col("_odd")
     )
-    return F.when(
-        keep,
-        F.concat(
-            part["scheme"], text("://"), host,
-            F.when(port > 0, F.concat(text(":"), port.cast("string"))).otherwise(text("")),
-            F.when(path == "", text("/")).otherwise(path),
-            F.when(part["query"] != "", F.concat(text("?"), part["query"])).otherwise(text("")),
-        ),
+    port = F.when(F.col("_port") > 0, F.concat(text(":"), F.col("_port").cast("string")))
+    path = F.col("_path")
+    staged = with_split(df, strip(F.col(source)), "_n_").withColumns({
+        "_host": hostname(part["netloc"]), "_port": valid_port(part["netloc"]),
+        "_odd": port_is_invalid(part["netloc"]), "_path": F.regexp_replace(part["path"], ";$", ""),
+    })
+    normal = F.when(keep, F.concat(
+        part["scheme"], text("://"), F.col("_host"), F.coalesce(port, text("")),
+        F.when(path == "", text("/")).otherwise(path), _mark("?", part["query"])))
+    return fenced(staged, {out: normal}).drop(*("_n_" + n for n in names), "_host", "_port", "_odd", "_path", "_abs")
+
+
+def with_site_of_host(df: DataFrame, host: Column, out: str) -> DataFrame:
+    """Add the registered site of a host: domain label plus suffix, else the domain, else the
+    host itself."""
+    low, suffix, domain = F.col("_h"), F.col("_s_suffix"), F.col("_s_domain")
+    site = (
+        F.when(domain == "", low).when(suffix == "", domain)
+        .otherwise(F.concat(domain, text("."), suffix))
     )
+    staged = with_suffix_parts(df.withColumns({"_h": F.lower(host)}), low, "_s_")
+    return fenced(staged, {out: site}).drop("_h", "_s_suffix", "_s_domain", "_s_subdomain")
+
+
+def with_site(df: DataFrame, url: str, out: str) -> DataFrame:
+    """Add the registered site of a URL's host."""
+    split = with_split(df, F.col(url), "_u_")
+    named = with_site_of_host(split, hostname(F.col("_u_netloc")), out)
+    return named.drop(*("_u_" + n for n in ("scheme", "netloc", "path", "query", "fragment")))
 
 
 def display_url(url: Column) -> Column:

@@ -6,7 +6,9 @@ from importlib import import_module
 
 from urlsieve.plans.registry import QUERIES, TWINS, Query
 
-MODULES = ("url_queries", "profile_queries", "split_queries")
+MODULES = (
+    "url_queries", "profile_queries", "split_queries", "metric_queries", "feed_queries", "page_queries",
+)
 
 
 def _load() -> None:
