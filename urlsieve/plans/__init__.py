@@ -8,6 +8,7 @@ from urlsieve.plans.registry import QUERIES, TWINS, Query
 
 MODULES = (
     "url_queries", "profile_queries", "split_queries", "metric_queries", "feed_queries", "page_queries",
+    "model_queries", "scan_queries",
 )
 
 
