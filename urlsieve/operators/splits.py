@@ -13,6 +13,7 @@ from urlsieve import constants as K
 from urlsieve.functions.text import percent, text
 from urlsieve.operators.lookups import HOT_SHARE, lookup_join
 from urlsieve.operators.ranks import assign_by_rank, running, seeded_hash
+from urlsieve.session import cut_lineage
 
 # Domains of one size class are ranked in chunks of about this many.
 CLASS_CHUNK = 50_000
@@ -141,7 +142,8 @@ def domain_split(
     Domain sizes are known here, so the rows of giant domains meet a broadcast of at most
     ``HOT_SHARE`` assignments and only the rest joins by shuffle.
     """
-    assigned = domain_assignment(df, domain, label, shares, seed)
+    # read three times below, so it is stored: one row per domain
+    assigned = cut_lineage(domain_assignment(df, domain, label, shares, seed))
     total = assigned.agg(F.sum("size").alias("_total"))
     hot = (
         assigned.crossJoin(F.broadcast(total))

@@ -10,7 +10,8 @@ from urlsieve.operators import crawl as C
 from urlsieve.operators import pages as P
 from urlsieve.plans import sqlkit as Q
 from urlsieve.plans.registry import query
-from urlsieve.plans.tables import BAD_HOST, table
+from urlsieve.plans.tables import BAD_HOST, pages_table, table
+from urlsieve.session import spread
 
 WSC = K.WHITESPACE_CLASS
 
@@ -20,7 +21,7 @@ def clean_sql(html: str) -> str:
 
 
 def _clean(spark, sf):
-    return table(spark, sf, "pages").select("page_id", P.normalize_html(F.col("html")).alias("h"))
+    return spread(table(spark, sf, "pages").select("page_id", "html")).select("page_id", P.normalize_html(F.col("html")).alias("h"))
 
 
 @query("html_scan", f"""SELECT page_id, html, CASE WHEN regexp_matches(regexp_extract(url, '://([^/?#]*)', 1), '{BAD_HOST}') THEN 'phish' ELSE 'benign' END AS label FROM pages""")
@@ -125,7 +126,7 @@ def normal_ctes(source: str, name: str, url: str, out: str, keep: str = "true")
 
 @query("page_links", f"""WITH {HREFS}, {resolved_ctes('links0', 'links')} SELECT page_id, position, src, href, dst FROM links""")
 def page_links(spark, sf):
-    return P.page_links(table(spark, sf, "pages"))
+    return P.page_links(pages_table(spark, sf))
 
 
 # Link forms that the pages' own anchors do not have, made from each anchor.
@@ -152,7 +153,7 @@ def site_sql(url: str) -> str:
 @query("same_site_links", f"""WITH {HREFS}, {resolved_ctes('links0', 'links')}
 SELECT page_id, position, dst FROM links WHERE dst IS NOT NULL AND {site_sql('src')} = {site_sql('dst')}""")
 def same_site_links(spark, sf):
-    return P.same_site(P.page_links(table(spark, sf, "pages"))).select("page_id", "position", "dst")
+    return P.same_site(P.page_links(pages_table(spark, sf))).select("page_id", "position", "dst")
 
 
 # A link graph with depth: host roots link to their pages, pages to their anchors and to the page
@@ -169,7 +170,7 @@ def graph(spark, sf):
     pages = table(spark, sf, "pages")
     norm = U.with_normal_url(pages.select("page_id", "url"), "url", "norm").select("page_id", "norm")
     root = F.concat(F.regexp_extract("norm", "^[a-z]+://[^/]*", 0), F.lit("/"))
-    anchors = P.page_links(pages).join(norm, "page_id").select(F.col("norm").alias("src"), "dst")
+    anchors = P.page_links(spread(pages)).join(norm, "page_id").select(F.col("norm").alias("src"), "dst")
     tops = norm.select(root.alias("src"), F.col("norm").alias("dst"))
     after = norm.select((F.col("page_id") - 1).alias("page_id"), F.col("norm").alias("dst"))
     chain = norm.join(after, "page_id").select(F.col("norm").alias("src"), "dst")
@@ -244,7 +245,7 @@ crawl AS MATERIALIZED (
 def crawl_rows(spark, sf):
     host = F.regexp_extract("url", "://([^/]*)", 1)
     listed = P.sitemap_locs(maps(spark, sf)).where("NOT is_child").select(F.col("loc").alias("url"), F.lit("sitemap").alias("source"))
-    found = P.page_links(table(spark, sf, "pages")).where("dst IS NOT NULL").select(F.col("dst").alias("url"), F.lit("crawl").alias("source"))
+    found = P.page_links(pages_table(spark, sf)).where("dst IS NOT NULL").select(F.col("dst").alias("url"), F.lit("crawl").alias("source"))
     return U.with_site(listed.unionByName(found), "url", "seed").select("seed", host.alias("host"), "url", "source")
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urlsieve.session import spread
+
 BAD_HOST = "(pills|casino|adult|bets|spam|ads)"
 
 
@@ -16,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, spread over the cores for work on their HTML."""
+    return spread(table(spark, sf_dir, "pages"))
+
+
 # Each family member as a list of pieces: text, or a name in angle brackets for a derived column.
 FAMILY: tuple[tuple[str, ...], ...] = (
     ("<url>",),
@@ -66,7 +73,7 @@ def _family_sql(pieces: tuple[str, ...]) -> str:
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, variant, url, label: the labelled URL table."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url"))
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
     base = pages.withColumn("f_host", host).select(
         "page_id",

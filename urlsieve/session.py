@@ -19,6 +19,8 @@ SCALE_CONF = {
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # recording a call site for every column expression doubles the time to build wide frames
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -71,3 +73,13 @@ def inline_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[tup
         F.struct(*(F.lit(v).alias(c) for c, v in zip(columns, row, strict=True))) for row in rows
     ]
     return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work at least one partition per core when the input is only a few files.
+
+    Large inputs come in more partitions than there are cores and pass through unchanged, so no
+    shuffle is added where it would cost something.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
