@@ -165,12 +165,12 @@ def test_domain_split_with_a_giant_domain(spark):
 
 # --- lookups ------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("share", [3, 2000])
-def test_lookup_join_is_a_left_join(spark, share):
+@pytest.mark.parametrize("share,limit", [(3, 0), (2000, 0), (3, 1 << 20)])
+def test_lookup_join_is_a_left_join(spark, share, limit):
     keys = ["hot"] * 400 + [f"k{i % 50}" for i in range(200)] + [None] * 10 + ["absent"] * 5
     rows = spark.createDataFrame(list(enumerate(keys)), "i int, k string")
     dim = spark.createDataFrame([("hot", 1, "x")] + [(f"k{i}", i, None) for i in range(50)], "k string, v int, w string")
-    got = sorted(map(tuple, L.lookup_join(rows, dim, "k", share=share).collect()))
+    got = sorted(map(tuple, L.lookup_join(rows, dim, "k", share=share, limit=limit).collect()))
     assert got == sorted(map(tuple, rows.join(dim, "k", "left").select("i", "k", "v", "w").collect()))
 
 
@@ -235,6 +235,16 @@ def test_ngrams_count_code_points(spark):
     assert [r[0] for r in df.select(P.char_ngrams(F.col("h"), 3)).collect()] == [["a😀b", "😀bc"], [], [], ["a\nb", "\nbc"]]
 
 
+def test_ngrams_across_pieces(spark, monkeypatch):
+    monkeypatch.setattr(P, "PIECE", 5)
+    body = "".join(chr(97 + i % 26) for i in range(33)) + "😀é"
+    df = spark.createDataFrame([(1, body), (2, "ab"), (3, "")], "id int, h string")
+    got = Counter()
+    for r in P.ngram_counts(df, "id", "h").collect():
+        got[(r["id"], r["gram"])] += r["n"]
+    assert got == Counter((1, body[i:i + n]) for n in (3, 4) for i in range(len(body) - n + 1))
+
+
 def test_normalize_html(spark):
     df = spark.createDataFrame([(" <a>\n\t<b>  x \u00a0 y </b> ",), (None,), ("a" * 30,)], "h string")
     assert [r[0] for r in df.select(P.normalize_html(F.col("h"))).collect()] == ["<a><b> x y </b>", "", "a" * 30]

@@ -26,10 +26,12 @@ def reach(
     many tasks and only the hub's few frontier rows are repeated.
     """
     links = edges.select("src", "dst").where("dst IS NOT NULL AND src <> dst").distinct()
+    # the site of a target is found once here, not again at every level and for every seed
+    links = with_site(links, "dst", "dst_site") if on_site else links.withColumn("dst_site", F.lit(""))
     hubs = F.broadcast(hot_keys(links, "src").select(F.col("src").alias("_hub")))
     salted = cut_lineage(
         links.join(hubs, F.col("src") == F.col("_hub"), "left").select(
-            "src", "dst",
+            "src", "dst", "dst_site",
             F.when(F.col("_hub").isNotNull(), F.pmod(F.xxhash64("dst"), F.lit(SALTS)))
             .otherwise(0).cast("int").alias("_salt"))
     )
@@ -52,9 +54,10 @@ def reach(
         probes = repeated.unionByName(zero).distinct()
         step = probes.join(
             salted, (F.col("url") == F.col("src")) & (probes["_salt"] == salted["_salt"])
-        ).select(*keep, F.col("dst").alias("url"))
+        )
         if on_site:
-            step = with_site(step, "url", "_own").where("_own = _site").drop("_own")
+            step = step.where("dst_site = _site")
+        step = step.select(*keep, F.col("dst").alias("url"))
         fresh = step.distinct().join(known.select("seed", "url"), ["seed", "url"], "left_anti")
         frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)).select(known.columns))
         if frontier.isEmpty():

@@ -69,9 +69,10 @@ def block_weights(
     """Sum of the piece weights per block of four characters of each URL.
 
     ``weights`` has one row per gram. Pieces like ``://`` occur in every URL, so the lookup must
-    stand hot keys.
+    stand hot keys. URLs are spread by their key before they are taken apart; with weights small
+    enough to broadcast, the pieces are then summed where they are.
     """
-    pieces = df.select(*keep, url, F.posexplode(P.char_ngrams(F.col(url), n)).alias("position", "gram"))
+    pieces = df.repartition(*keep).select(*keep, url, F.posexplode(P.char_ngrams(F.col(url), n)).alias("position", "gram"))
     weighed = lookup_join(pieces, weights.select("gram", "weight"), "gram")
     block = F.floor(F.col("position") / BLOCK).cast("int")
     return weighed.groupBy(*keep, url, block.alias("block")).agg(

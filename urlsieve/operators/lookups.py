@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlsieve.functions import urls as U
+from urlsieve.session import cut_lineage
 
 # A key is "hot" when it holds at least 1/HOT_SHARE of all rows, so there are at most HOT_SHARE
 # hot keys whatever the data: that bound is what makes broadcasting them safe.
@@ -25,17 +26,32 @@ def hot_keys(rows: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
     )
 
 
+# Largest table that is broadcast, measured as JSON text.
+BROADCAST_BYTES = 64 << 20
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Measure a stored table; true when every executor can hold a copy."""
+    size = df.agg(F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("b")).first()["b"]
+    return (size or 0) <= limit
+
+
 def lookup_join(
     rows: DataFrame, dim: DataFrame, key: str, hot: DataFrame | None = None,
-    share: int = HOT_SHARE,
+    share: int = HOT_SHARE, limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Left join with a side that has one row per key, exact under any skew of ``rows``.
 
-    Rows of hot keys meet a broadcast of the hot part of ``dim`` and never shuffle by their key;
-    all other rows join by shuffle, where no key holds more than ``1/share`` of them.
+    ``dim`` is stored, then measured: a table within ``limit`` is broadcast and the rows are not
+    shuffled at all. Beyond that, rows of hot keys meet a broadcast of the hot part of ``dim``,
+    which has at most ``share`` rows, and never shuffle by their key; all other rows join by
+    shuffle, where no key holds more than ``1/share`` of them.
     """
-    hot = hot_keys(rows, key, share) if hot is None else hot
+    dim = cut_lineage(dim)
     values = [c for c in dim.columns if c != key]
+    if fits_broadcast(dim, limit):
+        return rows.join(F.broadcast(dim), key, "left").select(*rows.columns, *values)
+    hot = hot_keys(rows, key, share) if hot is None else hot
     hot_dim = F.broadcast(
         dim.join(F.broadcast(hot), key, "left_semi").select(
             F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot")

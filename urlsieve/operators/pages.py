@@ -40,17 +40,40 @@ def all_ngrams(col: Column, sizes: Sequence[int] = K.NGRAM_SIZES) -> Column:
     return F.concat(*(char_ngrams(col, n) for n in sizes))
 
 
+# Pages are cut into pieces of this many characters before their grams are listed, so that no row
+# ever holds all grams of a large page; neighbouring pieces overlap by n - 1 characters.
+PIECE = 1 << 14
+
+
+def exploded_ngrams(
+    df: DataFrame, keep: Sequence[str], content: str, sizes: Sequence[int] = K.NGRAM_SIZES
+) -> DataFrame:
+    """One row per gram (column ``gram``) of whole texts of any length."""
+    body = F.col(content)
+    last = F.floor((F.greatest(F.length(body), F.lit(1)) - 1) / PIECE).cast("int")
+
+    def pieces(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+            F.lit(n).alias("size"),
+            F.substring(body, i * PIECE + 1, F.lit(PIECE + n - 1)).alias("piece")))
+
+    cut = df.select(*keep, F.inline(F.concat(*map(pieces, sizes))))
+    grams = F
+    for n in sizes:
+        grams = grams.when(F.col("size") == n, char_ngrams(F.col("piece"), n))
+    return cut.select(*keep, F.explode(grams).alias("gram"))
+
+
 def ngram_counts(df: DataFrame, key: str, content: str, sizes: Sequence[int] = K.NGRAM_SIZES) -> DataFrame:
     """key, gram, n per row. Rows are spread by key before they are blown up, so the many grams
     of a page are counted where they are and never cross the network."""
     spread = df.select(key, content).repartition(key)
-    return spread.select(key, F.explode(all_ngrams(F.col(content), sizes)).alias("gram")).groupBy(
-        key, "gram").agg(F.count("*").alias("n"))
+    return exploded_ngrams(spread, (key,), content, sizes).groupBy(key, "gram").agg(
+        F.count("*").alias("n"))
 
 
 def top_ngrams(df: DataFrame, content: str, top: int, sizes: Sequence[int] = K.NGRAM_SIZES) -> DataFrame:
-    counts = df.select(F.explode(all_ngrams(F.col(content), sizes)).alias("gram")).groupBy(
-        "gram").agg(F.count("*").alias("n"))
+    counts = exploded_ngrams(df, (), content, sizes).groupBy("gram").agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), F.asc("gram")).limit(top)
 
 

@@ -139,10 +139,10 @@ def domain_split(
 ) -> DataFrame:
     """Add ``split`` so that every registered domain lies in one split.
 
-    Domain sizes are known here, so the rows of giant domains meet a broadcast of at most
-    ``HOT_SHARE`` assignments and only the rest joins by shuffle.
+    The assignment (one row per domain) is stored. Domain sizes are known here, so when it is too
+    large to broadcast, only the at most ``HOT_SHARE`` giant domains are, and the rest joins by
+    shuffle.
     """
-    # read three times below, so it is stored: one row per domain
     assigned = cut_lineage(domain_assignment(df, domain, label, shares, seed))
     total = assigned.agg(F.sum("size").alias("_total"))
     hot = (
