@@ -28,32 +28,26 @@ def reach(
     links = edges.select("src", "dst").where("dst IS NOT NULL AND src <> dst").distinct()
     # the site of a target is found once here, not again at every level and for every seed
     links = with_site(links, "dst", "dst_site") if on_site else links.withColumn("dst_site", F.lit(""))
-    hubs = F.broadcast(hot_keys(links, "src").select(F.col("src").alias("_hub")))
-    salted = cut_lineage(
-        links.join(hubs, F.col("src") == F.col("_hub"), "left").select(
-            "src", "dst", "dst_site",
-            F.when(F.col("_hub").isNotNull(), F.pmod(F.xxhash64("dst"), F.lit(SALTS)))
-            .otherwise(0).cast("int").alias("_salt"))
-    )
-    hub_salts = F.broadcast(
-        salted.where("_salt > 0").select(F.col("src").alias("url"), F.col("_salt").alias("_extra")).distinct()
-    )
+    links = cut_lineage(links)
+    # at most HOT_SHARE hubs exist, see hot_keys
+    hubs = cut_lineage(hot_keys(links, "src").select(F.col("src").alias("_hub")))
+    salted = links.join(F.broadcast(hubs), F.col("src") == F.col("_hub"), "left").select(
+        "src", "dst", "dst_site",
+        F.when(F.col("_hub").isNotNull(), F.pmod(F.xxhash64("dst"), F.lit(SALTS)))
+        .otherwise(0).cast("int").alias("_salt"))
     known = seeds.select("seed", "url").distinct().withColumn("depth", F.lit(0))
     if on_site:
         known = with_site(known, "seed", "_site")
     known = frontier = cut_lineage(known)
     keep = [c for c in known.columns if c not in ("url", "depth")]
     for depth in range(1, max_depth + 1):
-        repeated = frontier.join(hub_salts, "url", "left").select(
+        # a hub's frontier rows are repeated once per salt
+        probes = frontier.join(F.broadcast(hubs), F.col("url") == F.col("_hub"), "left").select(
             *keep, "url",
-            F.explode(F.when(F.col("_extra").isNull(), F.array(F.lit(0)))
-                      .otherwise(F.array(F.col("_extra")))).alias("_salt"))
-        # the salt 0 share of a hub, which the join above leaves out for hubs
-        zero = frontier.join(hub_salts.select("url").distinct(), "url", "left_semi").select(
-            *keep, "url", F.lit(0).alias("_salt"))
-        probes = repeated.unionByName(zero).distinct()
+            F.explode(F.when(F.col("_hub").isNull(), F.array(F.lit(0)))
+                      .otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("_probe"))
         step = probes.join(
-            salted, (F.col("url") == F.col("src")) & (probes["_salt"] == salted["_salt"])
+            salted, (F.col("url") == F.col("src")) & (F.col("_probe") == F.col("_salt"))
         )
         if on_site:
             step = step.where("dst_site = _site")
