@@ -76,7 +76,9 @@ def main(argv):
     from urlsieve.session import build_session
 
     sf_dir = f"/root/testdata/{argv[0] if argv else 'sf0.01'}"
-    wanted = argv[1:]
+    # names to run, by substring; a leading "-" leaves names out
+    wanted = [w for w in argv[1:] if not w.startswith("-")]
+    unwanted = [w[1:] for w in argv[1:] if w.startswith("-")]
     spark = build_session(
         master="local[8]",
         conf={"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
@@ -87,7 +89,7 @@ def main(argv):
     queries, twins = entry.queries(), entry.oracle_sql()
     bad = 0
     for name, fn in queries.items():
-        if wanted and not any(w in name for w in wanted):
+        if wanted and not any(w in name for w in wanted) or any(w in name for w in unwanted):
             continue
         start = time.time()
         try:
