@@ -137,3 +137,13 @@ def test_windowed_stream_equals_batch(spark, tmp_path):
     counts = jobs.latest(spark, str(tmp_path / "out"), ("client", "window_start"))
     assert counts.count() == 50 and {r["requests"] for r in counts.collect()} == {12}
     assert L.rate_limit_violations(rows).count() == 50
+
+
+def test_bounded_stream_dedupe(spark, tmp_path):
+    rows = spark.range(60).select(F.concat(F.lit("u"), (F.col("id") % 7).cast("string")).alias("url"),
+                                  F.timestamp_seconds(F.col("id")).alias("ts"))
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = jobs.read_stream(spark, str(tmp_path / "in"), rows.schema, files_per_batch=1)
+    jobs.write_batches(jobs.distinct_within(stream, "ts", "1 hour"), str(tmp_path / "out"), str(tmp_path / "state"),
+                       lambda batch, _: batch).awaitTermination()
+    assert urls_of(spark.read.parquet(str(tmp_path / "out"))) == [f"u{i}" for i in range(7)]

@@ -88,9 +88,10 @@ def cumulative(df: DataFrame, score: str = "score", label: str = "label") -> Dat
     by_score = df.groupBy(F.col(score).alias("threshold")).agg(
         F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg")
     )
-    totals = by_score.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    totals = df.agg(F.sum(positive).alias("n_pos"), F.sum(1 - positive).alias("n_neg"))
+    rows = df.select(F.col(score).alias("threshold"))
     summed = running(
-        bucket_by_depth(by_score, "threshold"), [F.desc("threshold")], -F.col("_depth"),
+        bucket_by_depth(by_score, "threshold", rows=rows), [F.desc("threshold")], -F.col("_depth"),
         sums={"tp": F.col("pos"), "fp": F.col("neg")}, few_buckets=True,
     )
     return summed.drop("_depth").crossJoin(F.broadcast(totals))

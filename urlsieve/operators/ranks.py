@@ -77,15 +77,19 @@ def running(
     return out.drop(*helpers)
 
 
-def bucket_by_depth(df: DataFrame, value: str, bits: int = 10) -> DataFrame:
+def bucket_by_depth(
+    df: DataFrame, value: str, bits: int = 10, rows: DataFrame | None = None
+) -> DataFrame:
     """Add ``_depth``: the equal-depth bucket (of ``2**bits``) that a value falls into.
 
     The split points are approximate quantiles of the data, held in one array; the bucket is
     found by a binary search unrolled into ``bits`` projections. Which split points come out only
-    decides how even the buckets are, never a result.
+    decides how even the buckets are, never a result. When ``df`` is an aggregate, its input may be
+    given as ``rows`` (with the same column): quantiles of rows need no shuffle, and a bucket has
+    no more distinct values than rows.
     """
     n = 1 << bits
-    splits = df.agg(
+    splits = (df if rows is None else rows).agg(
         F.percentile_approx(value, [i / n for i in range(1, n)], n * 8).alias("_splits")
     )
     out = df.crossJoin(F.broadcast(splits)).withColumn("_depth", F.lit(0))

@@ -71,9 +71,12 @@ def ingest_feed(
     return write_batches(lines, out, checkpoint, fresh)
 
 
-def ingest_feed_bounded(lines: DataFrame, parser: Callable[[DataFrame], DataFrame], ts: str, delay: str) -> DataFrame:
-    """Streaming de-duplication that remembers URLs only within a watermark."""
-    return parser(lines).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["url"])
+def distinct_within(urls: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Streaming de-duplication that remembers a URL only until the watermark passes it.
+
+    For a stream of (url, time) rows whose repeats come close together; state stays bounded.
+    """
+    return urls.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["url"])
 
 
 def score_requests(
