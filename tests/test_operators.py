@@ -228,6 +228,14 @@ def test_robots_first_rule_wins(spark):
     assert not any(other.values())
 
 
+def test_robots_groups_end_at_empty_lines(spark):
+    body = "User-agent: bot\n\nDisallow: /lost\nUser-agent: x\nUser-agent: researchbot\nDisallow: /a\n\nUser-agent: search\nDisallow: /b\n\nUser-agent: *\nDisallow: /\n"
+    rules = P.robots_rules(spark.createDataFrame([("h", body)], "host string, body string"))
+    urls = spark.createDataFrame([("h", p) for p in ("/lost", "/a", "/b")], "host string, path string")
+    allowed = {r["path"]: r["allowed"] for r in P.robots_filter(urls, rules, "ResearchBot/1").collect()}
+    assert allowed == {"/lost": True, "/a": False, "/b": True}
+
+
 # --- pages --------------------------------------------------------------------------------
 
 def test_ngrams_count_code_points(spark):

@@ -169,42 +169,54 @@ def cap_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[str], n:
 # --- robots rules -------------------------------------------------------------------------
 
 def robots_rules(files: DataFrame, host: str = "host", body: str = "body") -> DataFrame:
-    """host, agent, line_no, allow, prefix: the rules of robots files, in order.
+    """host, grp, agent, line_no, allow, prefix: the rules of robots files, in order.
 
-    A group is a run of user-agent lines and the rules up to the next such run.
+    A group is a run of user-agent lines and the rules below it; an empty line ends it, and rules
+    outside a group count for nobody.
     """
     lines = files.select(F.col(host).alias("host"), F.posexplode(F.split(body, "\r?\n")).alias("line_no", "raw"))
     bare = strip(F.regexp_replace("raw", "#.*$", ""))
-    field = F.lower(strip(F.substring_index(bare, ":", 1)))
+    field = F.when(F.col("raw") == "", "end").otherwise(F.lower(strip(F.substring_index(bare, ":", 1))))
     value = strip(F.regexp_extract(bare, "^[^:]*:(.*)$", 1))
     rows = lines.select("host", "line_no", field.alias("field"), value.alias("value")).where(
-        F.col("field").isin("user-agent", "allow", "disallow"))
+        F.col("field").isin("user-agent", "allow", "disallow", "end"))
+    # a robots file is one small document, so ordering its lines is bounded
     in_file = Window.partitionBy("host").orderBy("line_no")
-    is_agent = F.col("field") == "user-agent"
-    starts = is_agent & ~F.coalesce(F.lag(is_agent).over(in_file), F.lit(False))
+    is_agent, is_end = F.col("field") == "user-agent", F.col("field") == "end"
+    starts = is_end | (is_agent & ~F.coalesce(F.lag(is_agent).over(in_file), F.lit(False)))
     grouped = rows.withColumn("start", starts).withColumn(
         "grp", F.sum(F.col("start").cast("int")).over(in_file))
     agents = grouped.where(is_agent).select("host", "grp", F.lower("value").alias("agent"))
-    rules = grouped.where(~is_agent).select(
+    rules = grouped.where(~is_agent & ~is_end).select(
         "host", "grp", "line_no",
         ((F.col("field") == "allow") | (F.col("value") == "")).alias("allow"),
         F.col("value").alias("prefix"))
-    return agents.join(rules, ["host", "grp"]).select("host", "agent", "line_no", "allow", "prefix")
+    return agents.join(rules, ["host", "grp"]).select("host", "grp", "agent", "line_no", "allow", "prefix")
+
+
+def robots_sitemaps(files: DataFrame, host: str = "host", body: str = "body") -> DataFrame:
+    """host, sitemap_url: the sitemaps that robots files name, in any group."""
+    lines = files.select(F.col(host).alias("host"), F.explode(F.split(body, "\r?\n")).alias("raw"))
+    bare = strip(F.regexp_replace("raw", "#.*$", ""))
+    named = lines.where(F.lower(strip(F.substring_index(bare, ":", 1))) == "sitemap")
+    return named.select("host", strip(F.regexp_extract(bare, "^[^:]*:(.*)$", 1)).alias("sitemap_url"))
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame, agent: str, host: str = "host", path: str = "path") -> DataFrame:
     """Add ``allowed``: the first rule of the agent's group that a path starts with decides.
 
-    A group that names the agent beats the ``*`` group; no rule, or no robots file, allows. The
+    The first group that names the agent is used, else the first ``*`` group; no rule that fits, or
+    no robots file, allows. The
     rules of a host are folded into one array, so a URL meets one row and is never multiplied.
     """
     name = agent.split("/")[0].lower()
     fits = F.when(F.col("agent") == "*", 1).when(F.contains(text(name), F.col("agent")), 0)
     ranked = rules.withColumn("_fit", fits).where("_fit IS NOT NULL")
     best = ranked.groupBy("host").agg(
-        F.array_sort(F.collect_list(F.struct("_fit", "line_no", "allow", "prefix"))).alias("_rules"))
+        F.array_sort(F.collect_list(F.struct("_fit", "grp", "line_no", "allow", "prefix"))).alias("_rules"))
     dim = best.select(F.col("host").alias(host), F.filter(
-        "_rules", lambda r: r["_fit"] == F.col("_rules")[0]["_fit"]).alias("_rules"))
+        "_rules", lambda r: (r["_fit"] == F.col("_rules")[0]["_fit"])
+        & (r["grp"] == F.col("_rules")[0]["grp"])).alias("_rules"))
     joined = lookup_join(urls, dim, host)
     hit = F.filter("_rules", lambda r: F.startswith(F.col(path), r["prefix"]) | (r["prefix"] == "*"))
     return joined.withColumn("allowed", F.coalesce(F.get(hit, 0)["allow"], F.lit(True))).drop("_rules")

@@ -313,6 +313,16 @@ def robots_filter(spark, sf):
     return P.robots_filter(pages, P.robots_rules(files), AGENT)
 
 
+_NAMED = "'User-agent: *' || chr(10) || ' SiteMap:  https://' || h || '/map-' || page_id || '.xml # main' || chr(10) || 'Disallow: /x'"
+
+
+@query("robots_sitemaps", """SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host,
+  'https://' || regexp_extract(url, '://([^/?#]*)', 1) || '/map-' || page_id || '.xml' AS sitemap_url FROM pages""")
+def robots_sitemaps(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("h"))
+    return P.robots_sitemaps(pages.selectExpr("h AS host", f"{_NAMED} AS body"))
+
+
 _ARRIVE = "epoch(date_trunc('hour', ts))"
 
 
