@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsieve.llm import quality
+from urlsieve.llm import packing, quality, secrets, simhash, toxicity
 from urlsieve.llm.common import read
 
+BYTE_BPE, PIECES = tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 TWINS: dict[str, str] = {}
@@ -32,3 +35,26 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_quality(docs, ratio).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", F.col("ratio").alias("mean_log_ratio"))
+
+
+@query("op2_simhash_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels"))
+    return toxicity.with_toxicity(docs, model).drop("text")
+
+
+@query("op6_secret_scans")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secrets.digest(secrets.with_secrets(docs))
+
+
+@query("op1_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, tokenizers.PATTERN)
