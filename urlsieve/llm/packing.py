@@ -31,7 +31,7 @@ from urlsieve.llm.bpe import cached_bpe
 from urlsieve.session import cut_lineage
 
 CAPACITY, END_ID = 2048, 1
-BINS = 256
+BINS = 128
 FILLER_SHARE = 16
 ROWS_PER_BUCKET = 50_000
 
@@ -42,22 +42,17 @@ def best_pattern(prices: np.ndarray, bins: int) -> tuple[float, np.ndarray]:
     """Unbounded knapsack: the pattern of bin sizes 1..bins with the largest price within ``bins``."""
     value, last = np.zeros(bins + 1), np.zeros(bins + 1, int)
     for c in range(1, bins + 1):
-        offers = value[c - 1:: -1][:c] + prices[:c]  # item of size w = 1..c on top of capacity c - w
-        w = int(np.argmax(offers))
+        offers = value[c - 1:: -1] + prices[:c]  # item of size w = 1..c on top of capacity c - w
+        w = offers.argmax()
         value[c], last[c] = offers[w], w + 1
-        if value[c - 1] >= value[c]:
-            value[c], last[c] = value[c - 1], 0
     counts, c = np.zeros(bins, int), bins
     while c > 0:
-        if last[c]:
-            counts[last[c] - 1] += 1
-            c -= last[c]
-        else:
-            c -= 1
+        counts[last[c] - 1] += prices[last[c] - 1] > 0  # an item without a price only fills up
+        c -= last[c]
     return float(value[bins]), counts
 
 
-def solve_patterns(demand: Sequence[int], rounds: int = 4000, gap: float = 1e-4) -> list[tuple[float, np.ndarray]]:
+def solve_patterns(demand: Sequence[int], rounds: int = 1500, gap: float = 1e-3) -> list[tuple[float, np.ndarray]]:
     """(uses, pattern) of an optimal basis: least number of sequences that covers the demand per bin.
 
     Revised simplex with an explicit inverse. It ends when no pattern prices above 1, or when the

@@ -8,8 +8,9 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsieve.llm import packing, quality, secrets, simhash, toxicity
+from urlsieve.llm import licenses, packing, quality, secrets, simhash, token_counts, toxicity
 from urlsieve.llm.common import read
+from urlsieve.session import run_dir
 
 BYTE_BPE, PIECES = tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model")
 
@@ -58,3 +59,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_packing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, tokenizers.PATTERN)
+
+
+@query("op5_license_scans")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.with_licenses(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.with_token_counts(docs, BYTE_BPE, tokenizers.PATTERN, run_dir(spark, "token-counts")).drop("text")
