@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsieve.llm import licenses, packing, quality, secrets, simhash, token_counts, toxicity
+from urlsieve.llm import licenses, neighbours, packing, quality, secrets, simhash, token_counts, toxicity
 from urlsieve.llm.common import read
 from urlsieve.session import run_dir
 
@@ -70,3 +70,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.with_token_counts(docs, BYTE_BPE, tokenizers.PATTERN, run_dir(spark, "token-counts")).drop("text")
+
+
+@query("op3_nearest_neighbours")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("_id") % 20 == 0)
