@@ -137,9 +137,11 @@ def search(
     short = asked.join(
         reached.groupBy("query_id").agg(F.count("*").alias("_c")).where(F.col("_c") >= wanted),
         F.col("_id") == F.col("query_id"), "left_anti").select("_id", "_v")
-    rest = exhaustive(rows, cut_lineage(short), k, facts["rows"])
+    short = cut_lineage(short)
+    if not short.isEmpty():
+        reached = reached.unionByName(exhaustive(rows, short, k, facts["rows"])).distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return reached.unionByName(rest).distinct().withColumn("rank", F.row_number().over(order).cast("int")).where(
+    return reached.withColumn("rank", F.row_number().over(order).cast("int")).where(
         F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -175,7 +177,4 @@ def exhaustive(rows: DataFrame, asked: DataFrame, k: int, total: int, per_block:
     n = max(1, -(-total // per_block))
     v = rows.select(F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int").alias("_block"), F.lit(False).alias("_ask"), "_id", "_v")
     q = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_block"), F.lit(True).alias("_ask"), "_id", "_v")
-    # without questions no vector travels
-    some = asked.select(F.lit(1).alias("_one")).limit(1)
-    v = v.join(F.broadcast(some)).drop("_one")
     return v.unionByName(q).groupBy("_block").applyInPandas(lambda g: within(g, k), "query_id long, vec_id long, score double")

@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsieve.llm import licenses, neighbours, packing, quality, secrets, simhash, token_counts, toxicity
+from urlsieve.llm import html_text, licenses, neighbours, packing, quality, secrets, simhash, token_counts, toxicity
 from urlsieve.llm.common import read
 from urlsieve.session import run_dir
 
@@ -75,3 +75,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_nearest_neighbours")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("_id") % 20 == 0)
+
+
+@query("op8_html_extraction")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
