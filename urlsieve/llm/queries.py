@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsieve.llm import html_text, licenses, neighbours, packing, quality, secrets, simhash, token_counts, toxicity
+from urlsieve.llm import html_text, licenses, neighbours, packing, pieces, quality, secrets, simhash, token_counts, toxicity
 from urlsieve.llm.common import read
 from urlsieve.session import run_dir
 
@@ -80,3 +80,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_html_extraction")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op4_sentencepiece")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(read(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
