@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from urlsieve.llm import quality
+from urlsieve.llm import packing, quality, secrets, simhash, toxicity
 from urlsieve.llm.common import fence, read
 from urlsieve.session import run_dir
 
@@ -18,8 +20,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return fence(judged, *COLUMNS, "kept").where("kept").select(*COLUMNS)
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model does not call toxic."""
+    model = toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels"))
+    return toxicity.with_toxicity(docs.select(*COLUMNS), model).where(~F.col("toxic")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash class, that of the smallest doc_id."""
+    return simhash.one_per_class(docs.select(*COLUMNS))
+
+
+def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with live-looking secrets masked; n_chars follows the text."""
+    clean = secrets.masked(secrets.with_secrets(docs.select(*COLUMNS)))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences for training."""
+    return packing.pack(docs, tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("toxicity", toxic_documents),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secret_spans),
+    ("packing", packed),
 ]
 
 # The stages fit models and follow links of any length, which SQL cannot express.
