@@ -52,6 +52,20 @@ def best_pattern(prices: np.ndarray, bins: int) -> tuple[float, np.ndarray]:
     return float(value[bins]), counts
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Inverse by elimination with row exchange; small matrices, and no library threads on the driver."""
+    n = len(matrix)
+    work = np.concatenate([matrix, np.eye(n)], axis=1)
+    for i in range(n):
+        j = i + int(np.abs(work[i:, i]).argmax())
+        work[[i, j]] = work[[j, i]]
+        work[i] /= work[i, i]
+        others = work[:, i].copy()
+        others[i] = 0
+        work -= np.outer(others, work[i])
+    return work[:, n:]
+
+
 def solve_patterns(demand: Sequence[int], rounds: int = 1500, gap: float = 1e-3) -> list[tuple[float, np.ndarray]]:
     """(uses, pattern) of an optimal basis: least number of sequences that covers the demand per bin.
 
@@ -70,17 +84,17 @@ def solve_patterns(demand: Sequence[int], rounds: int = 1500, gap: float = 1e-3)
         patterns.append(p)
     inverse = np.diag([1 / p[r] for p, r in zip(patterns, rows, strict=True)])
     need = demand[rows]
-    use = inverse @ need
+    use = (inverse * need).sum(axis=1)
     for step in range(rounds):
         if step % 200 == 199:  # rounding errors do not build up
-            inverse = np.linalg.inv(np.array([p[rows] for p in patterns], float).T)
-            use = np.maximum(inverse @ need, 0)
+            inverse = inverted(np.array([p[rows] for p in patterns], float).T)
+            use = np.maximum((inverse * need).sum(axis=1), 0)
         prices = np.zeros(bins)
         prices[rows] = np.maximum(inverse.sum(axis=0), 0)
         worth, column = best_pattern(prices, bins)
-        if worth <= 1 + 1e-9 or use.sum() - prices[rows] @ need / worth <= gap * use.sum():
+        if worth <= 1 + 1e-9 or use.sum() - (prices[rows] * need).sum() / worth <= gap * use.sum():
             break
-        way = inverse @ column[rows]
+        way = (inverse * column[rows]).sum(axis=1)
         ok = way > 1e-9
         if not ok.any():
             break

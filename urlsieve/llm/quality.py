@@ -24,6 +24,7 @@ MAX_REPEAT_PERCENT = 30
 SYMBOLS = "[#*$%&|<>]"
 CELLS = 1 << 15
 TARGET_ROWS = 20_000
+PRIOR = 20  # pseudo-counts per cell that shrink the target towards the raw corpus
 THRESHOLD = -0.1
 
 
@@ -123,9 +124,10 @@ def fit_ratio(
         raw[r["cell"]], target[r["cell"]] = r["raw"], r["target"]
     if not sum(target):
         return [0.0] * cells
-    a, b = sum(raw) + cells, sum(target) + cells
-    # a cell's target share shrinks towards its raw share: one pseudo-count per cell, dealt as the raw corpus
-    ratio = [math.log(((t + cells * (r + 1) / a) / b) / ((r + 1) / a)) for r, t in zip(raw, target, strict=True)]
+    a, b = sum(raw) + cells, sum(target) + PRIOR * cells
+    # pseudo-counts are dealt as the raw corpus, so that cells with few n-grams say little: without them
+    # a small corpus would prefer the very documents that the target was fitted on
+    ratio = [math.log(((t + PRIOR * cells * (r + 1) / a) / b) / ((r + 1) / a)) for r, t in zip(raw, target, strict=True)]
     centre = sum(t * x for t, x in zip(target, ratio, strict=True)) / sum(target)
     return [round(x - centre, 3) for x in ratio]
 
