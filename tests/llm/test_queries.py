@@ -1,0 +1,29 @@
+"""Every corpus query and the pipeline run over whole tables."""
+
+import __spark_entry__ as entry
+import corpus_pipeline
+import pytest
+
+SF = "/root/testdata/sf0.001"
+COUNTS = {"op2": "documents", "op4": "documents", "op5": "documents", "op6": "documents", "op7": "documents",
+          "op8": "pages", "op9": "documents", "op10": "documents"}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n.startswith("op")))
+def test_query(spark, name):
+    got = entry.queries()[name](spark, SF)
+    table = COUNTS.get(name.split("_")[0])
+    assert got.count() == (spark.read.parquet(f"{SF}/{table}.parquet").count() if table else got.count()) > 0
+
+
+def test_pipeline(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    total, before = docs.count(), docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == list(corpus_pipeline.COLUMNS) and docs.count() <= before
+        before = docs.count()
+    assert before > 0.5 * total
+    pieces = corpus_pipeline.packed(spark, docs, SF)
+    assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()

@@ -91,7 +91,7 @@ def search(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best rows found for each query row, its own excluded.
 
-    ``query`` selects the query rows by ``key``. Ranks follow score, then smaller id. Vectors that are
+    ``query`` selects the query rows: a condition (SQL or column) on ``key``. Ranks follow score, then smaller id. Vectors that are
     null, zero or hold null or non-finite parts take no part; vectors must share one length. A row that
     repeats is a candidate once. Empty tables give no rows.
     """
@@ -103,7 +103,8 @@ def search(
     if not facts["rows"]:
         return spark.createDataFrame([], shape)
     largest, signs = facts["n"] * (1 + 1e-12), rotations(facts["d"] + 1, tables)
-    asked = rows.where(F.expr(query) if isinstance(query, str) else query)
+    chosen = F.expr(query) if isinstance(query, str) else query
+    asked = rows.withColumn(key, F.col("_id")).where(chosen).select("_id", "_v")
 
     def hashed(is_query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

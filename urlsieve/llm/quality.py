@@ -47,7 +47,8 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.select(
         *keep, "n_symbols",
         F.size(words).cast("long").alias("n_words"),
-        F.greatest(F.length(F.array_join(words, " ")) - F.size(words) + 1, F.lit(0)).cast("long").alias("word_chars"),
+        F.when(F.size(words) > 0, F.length(F.array_join(words, " ")) - F.size(words) + 1).otherwise(0)
+        .cast("long").alias("word_chars"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.transform(words, lambda w: F.xxhash64(w)).alias("word_hashes"),
     )

@@ -74,7 +74,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_nearest_neighbours")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("_id") % 20 == 0)
+    return neighbours.search(read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
 @query("op8_html_extraction")
