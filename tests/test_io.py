@@ -45,7 +45,10 @@ def test_archives_and_sitemaps(spark, tmp_path):
     (maps / "s.xml").write_bytes(gzip.compress(b"<urlset><loc>http://a/</loc></urlset>"))
     (maps / "t.xml").write_bytes(b"<urlset/>")
     (maps / "u.xml").write_bytes(b"\x1f\x8bbroken")
-    assert sorted(r["text"] for r in readers.read_sitemaps(spark, str(maps)).collect()) == [
+    found = readers.read_sitemaps(spark, str(maps)).collect()
+    assert [r["error"] is None for r in found] == [r["text"] is not None for r in found]
+    assert any(r["error"] for r in found)
+    assert sorted(r["text"] for r in found if r["text"] is not None) == [
         "<urlset/>", "<urlset><loc>http://a/</loc></urlset>"]
 
 

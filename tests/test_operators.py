@@ -271,3 +271,18 @@ def test_block_weights(spark):
     assert {r["block"]: r["weight"] for r in blocks.collect()} == {0: 3.0, 1: 4.0}
     top = X.top_blocks(blocks, ("id",), k=1).first()
     assert (top["block"], top["snippet"], top["weight"]) == (1, "efgh", 4.0)
+
+
+def test_null_keys_and_scores_are_counted_one_way(spark):
+    from urlsieve.operators import crawl, splits
+
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(100)], "id long, label int")
+    assert splits.random_split(rows, keys=["id"]).count() == 100
+    asks = spark.createDataFrame([(1, "h", 0.0), (2, None, 0.0), (3, None, 0.1)], "id long, host string, arrival double")
+    assert crawl.polite_schedule(asks, "id").count() == 3
+    scored = spark.createDataFrame([(None, 0), (float("nan"), 0), (0.2, 0), (0.9, 1), (0.5, None)], "score double, label int")
+    sweep = {r["threshold"]: r for r in M.threshold_sweep(scored).collect()}[0.99]
+    point = M.confusion(scored, 0.99).first()
+    for r in (sweep, point):
+        assert (r["tp"], r["fp"], r["fn"], r["tn"]) == (0, 0, 1, 1)
+    assert {(r["n_pos"], r["n_neg"]) for r in M.cumulative(scored).collect()} == {(1, 1)}

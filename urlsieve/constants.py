@@ -168,7 +168,6 @@ RISK_TIERS = ((25.0, "Low Risk"), (50.0, "Caution"), (75.0, "Suspicious"), (None
 LABEL_SMOOTHING = 0.05
 REQUESTS_PER_MINUTE = 10
 MAX_SUBDOMAINS = 30
-MAX_URLS_PER_HOST = 1500
 MAX_SITEMAPS_PER_HOST = 50
 MAX_LINK_DEPTH = 3
 REQUEST_GAP_SECONDS = 1.0

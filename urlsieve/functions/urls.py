@@ -199,6 +199,8 @@ def listed_suffix(host: Column, suffixes: Iterable[str], whole: bool = False) ->
     no join and no scan over the list is needed. ``whole`` also lets the host be a suffix itself.
     """
     suffixes = list(suffixes)
+    if any(s.count(".") > 1 for s in suffixes):
+        raise ValueError("suffixes of three labels or more need the table join, lookups.longest_suffix")
     double = [s for s in suffixes if s.count(".") == 1]
     single = [s for s in suffixes if "." not in s]
     start = "(?:^|\\.)" if whole else "\\."

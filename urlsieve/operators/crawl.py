@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,12 @@ SALTS = 64
 
 
 def reach(
-    edges: DataFrame, seeds: DataFrame, max_depth: int = K.MAX_LINK_DEPTH, on_site: bool = True
+    edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, on_site: bool = True
 ) -> DataFrame:
     """seed, url, depth: what a breadth-first walk from each seed finds, at its least depth.
 
+    The walk ends when a level finds nothing new, or at ``max_depth`` where one is given.
+
     ``edges`` has src and dst, ``seeds`` has seed and url. Every level is one join with the edges
     and one anti-join with what is known; it is checkpointed, so plans stay short and a lost
     executor costs one level. Out-links of hub pages are salted: each hub's links are spread over
@@ -28,6 +32,8 @@ def reach(
     links = edges.select("src", "dst").where("dst IS NOT NULL AND src <> dst").distinct()
     # the site of a target is found once here, not again at every level and for every seed
     links = with_site(links, "dst", "dst_site") if on_site else links.withColumn("dst_site", F.lit(""))
+    if on_site:  # a walk stays on its site, so only links between pages of one site can take part
+        links = with_site(links, "src", "src_site").where("src_site = dst_site").drop("src_site")
     links = cut_lineage(links)
     # at most HOT_SHARE hubs exist, see hot_keys
     hubs = cut_lineage(hot_keys(links, "src").select(F.col("src").alias("_hub")))
@@ -40,7 +46,9 @@ def reach(
         known = with_site(known, "seed", "_site")
     known = frontier = cut_lineage(known)
     keep = [c for c in known.columns if c not in ("url", "depth")]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
+        if max_depth is not None and depth > max_depth:
+            break
         # a hub's frontier rows are repeated once per salt
         probes = frontier.join(F.broadcast(hubs), F.col("url") == F.col("_hub"), "left").select(
             *keep, "url",
@@ -98,22 +106,22 @@ def seed_summary(rows: DataFrame) -> DataFrame:
     return per_seed.join(new, "seed", "left").fillna(0, ["new_urls_written"])
 
 
-def needs_crawl(hosts: DataFrame, sitemap: DataFrame, fewer_than: int = 100) -> DataFrame:
+def needs_crawl(hosts: DataFrame, sitemap: DataFrame, fewer_than: int) -> DataFrame:
     """Hosts whose sitemaps list too few URLs, so that their pages are crawled as well."""
     listed = sitemap.groupBy("host").agg(F.countDistinct("url").alias("sitemap_urls"))
     return hosts.select("host").distinct().join(listed, "host", "left").fillna(
         0, ["sitemap_urls"]).where(F.col("sitemap_urls") < fewer_than)
 
 
-def sitemap_tree(maps: DataFrame, roots: DataFrame, children: DataFrame, cap: int = K.MAX_SITEMAPS_PER_HOST,
-                 max_depth: int = K.MAX_SITEMAPS_PER_HOST) -> DataFrame:
+def sitemap_tree(maps: DataFrame, roots: DataFrame, children: DataFrame, cap: int | None = None,
+                 max_depth: int | None = None) -> DataFrame:
     """seed, sitemap_url, depth: sitemaps reached from a host's roots through index files.
 
     ``children`` has src and dst (an index and a sitemap it lists). Only sitemaps that exist in
-    ``maps`` count, at most ``cap`` per host, nearest first.
+    ``maps`` count; ``cap`` asks for the nearest ones of each host.
     """
     found = reach(children, roots, max_depth, on_site=False)
     present = found.join(maps.select(F.col("sitemap_url").alias("url")).distinct(), "url", "left_semi")
     named = present.select("seed", F.col("url").alias("sitemap_url"), "depth")
-    return cap_per_group(named, ["seed"], ["depth", "sitemap_url"], cap)
+    return named if cap is None else cap_per_group(named, ["seed"], ["depth", "sitemap_url"], cap)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,10 +56,11 @@ def lookup_join(
         )
     )
     first = rows.join(hot_dim, F.col(key) == F.col("_hot_key"), "left")
-    # open rows keep salt 0 and can match; resolved ones get a salt that spreads them and never does
+    # open rows keep salt 0 and can match; resolved ones get a salt that spreads them and never does.
+    # The salt is a hash of the row, so that a repeated task deals its rows as before.
     open_row = F.col("_hot").isNull() & F.col(key).isNotNull()
     salted = first.withColumn(
-        "_salt", F.when(open_row, F.lit(0)).otherwise((F.rand(7) * 1_000_000).cast("int") + 1)
+        "_salt", F.when(open_row, F.lit(0)).otherwise(F.pmod(F.xxhash64(*first.columns), F.lit(1_000_000)).cast("int") + 1)
     )
     cold = dim.select(
         F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_salt"),
@@ -120,9 +119,3 @@ def match_networks(rows: DataFrame, host: str, networks: DataFrame) -> DataFrame
         .withColumn("_net", F.expr("shiftright(_ip, 32 - _bits)"))
     )
     return probes.join(nets, ["_bits", "_net"]).select(*rows.columns, "cidr")
-
-
-def anti_join(rows: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key is not in ``known``. Both sides are reduced to one row per key first, so no
-    key can be hot; callers pass rows that are already deduplicated."""
-    return rows.join(known.select(*keys).distinct(), list(keys), "left_anti")

@@ -41,7 +41,8 @@ def confusion(
     df: DataFrame, threshold: float | Column = 0.5, score: str = "score", label: str = "label",
     groups: Sequence[str] = (),
 ) -> DataFrame:
-    """tp, fp, fn, tn at a threshold (inclusive), with the rates."""
+    """tp, fp, fn, tn at a threshold (inclusive), with the rates, over ``scored_rows``."""
+    df = scored_rows(df, score, label)
     hit, real = F.col(score) >= threshold, F.col(label) == 1
 
     def count(condition: Column) -> Column:
@@ -82,8 +83,14 @@ def classification_report(
 
 # --- curves over distinct scores ----------------------------------------------------------
 
+def scored_rows(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """Rows that metrics count: those with a label and a score; NULL and NaN are no score."""
+    return df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+
+
 def cumulative(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """threshold, pos, neg (at that score), tp, fp (at or above it), n_pos, n_neg (in all)."""
+    df = scored_rows(df, score, label)
     positive = (F.col(label) == 1).cast("long")
     by_score = df.groupBy(F.col(score).alias("threshold")).agg(
         F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg")
@@ -130,8 +137,10 @@ def threshold_sweep(
     """Confusion counts and rates at thresholds k / (points + 1), score >= threshold.
 
     Each score falls into the last grid point it reaches; counting per grid point and summing
-    backwards over at most ``points + 1`` rows replaces a comparison with every threshold.
+    backwards over at most ``points + 1`` rows replaces a comparison with every threshold. Rows
+    without a score or label (NULL, NaN) are not counted.
     """
+    df = scored_rows(df, score, label)
     cells = points + 1
 
     def grid(k: Column) -> Column:

@@ -22,8 +22,6 @@ from urlsieve.operators import pages as P
 from urlsieve.session import inline_table, run_dir
 
 URL_NGRAMS = (3, 4, 5)
-# Rows per Arrow batch inside which a feature is permuted.
-SERVING_CUT = 2 * K.SEQUENCE_LENGTH
 
 
 def class_weights(df: DataFrame, label: str = "label", balanced: bool = False) -> tuple[float, float]:
@@ -96,15 +94,18 @@ def train_page_model(
 
 
 def url_sequence_features(
-    df: DataFrame, stats: DataFrame, url: str = "url", keep: tuple[str, ...] = (), bits: int = 18
+    df: DataFrame, stats: DataFrame, url: str = "url", keep: tuple[str, ...] = (), bits: int = 18,
+    cut: int | None = None,
 ) -> DataFrame:
-    """Character pieces of the URL (case kept) next to the standardised lexical features."""
-    cut = df.withColumn(url, F.substring(strip(F.col(url)), 1, SERVING_CUT))
+    """Character pieces of the whole URL (case kept) next to the standardised lexical features.
+
+    ``cut`` limits URLs to their first characters, for callers that serve models of fixed length.
+    """
+    bare = strip(F.col(url))
+    cut = df.withColumn(url, bare if cut is None else F.substring(bare, 1, cut))
     lexical = FE.lexical_features(cut, url, (*keep, url))
     z = FE.normalize_features(lexical, stats, (*keep, url))
-    # the sequence part sees as many characters as the sequence has places
-    sequence = F.substring(url, 1, K.SEQUENCE_LENGTH)
-    grams = z.withColumn("grams", P.all_ngrams(sequence, URL_NGRAMS))
+    grams = z.withColumn("grams", P.all_ngrams(F.col(url), URL_NGRAMS))
     stages = PipelineModel(stages=[
         HashingTF(inputCol="grams", outputCol="counts", numFeatures=1 << bits, binary=True),
         VectorAssembler(inputCols=["counts", *K.LEXICAL_FEATURES], outputCol="features"),

@@ -142,11 +142,11 @@ def crawl_minus_sitemap(crawled: DataFrame, sitemap: DataFrame) -> DataFrame:
 
 # --- certificate names --------------------------------------------------------------------
 
-def certificate_names(log: DataFrame, root: str = "root", entries: str = "entries", cap: int = K.MAX_SUBDOMAINS) -> DataFrame:
+def certificate_names(log: DataFrame, root: str = "root", entries: str = "entries", cap: int | None = None) -> DataFrame:
     """root, name: host names below a root domain from certificate-log entries.
 
     Wildcards lose their prefix, names of other sites and names with odd characters are dropped.
-    The report keeps the first ``cap`` names of a root in order.
+    All names stay unless ``cap`` asks for the first ones of each root in order.
     """
     parsed = log.select(
         F.col(root).alias("root"),
@@ -157,7 +157,7 @@ def certificate_names(log: DataFrame, root: str = "root", entries: str = "entrie
     sited = U.with_site_of_host(
         U.with_site_of_host(plain, F.col("root"), "_root"), F.col("name"), "_own")
     kept = sited.where("_own = _root AND name <> _root").select("root", "name").distinct()
-    return cap_per_group(kept, ["root"], ["name"], cap)
+    return kept if cap is None else cap_per_group(kept, ["root"], ["name"], cap)
 
 
 def cap_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[str], n: int) -> DataFrame:

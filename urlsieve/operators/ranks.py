@@ -12,8 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_BUCKETS = 4096
-
 
 def seeded_hash(keys: Sequence[str], seed: int) -> Column:
     """Repeatable pseudo-random order of rows, from a key that identifies a row."""
@@ -64,7 +62,12 @@ def running(
     inside = (
         Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
-    out = base.join(offsets, keys)
+    # NULL is a key like any other
+    offsets = offsets.select(*(F.col(k).alias(f"_o_key_{k}") for k in keys), *(c for c in offsets.columns if c not in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_o_key_{k}"))
+    out = base.join(offsets, same)
     for n in sums:
         out = out.withColumn(
             n, F.sum(f"_v_{n}").over(inside) + F.coalesce(F.col(f"_o_{n}"), F.lit(0))
@@ -153,7 +156,12 @@ def assign_by_rank(
     ranges = ranges.withColumn("_first", part(F.col("_before") + 1)).withColumn(
         "_last", part(F.col("_upto"))
     )
-    joined = base.join(F.broadcast(ranges), [*groups, "_bucket"])
+    # NULL is a group like any other
+    ranges = ranges.withColumnsRenamed({k: f"_r_{k}" for k in (*groups, "_bucket")})
+    same = F.lit(True)
+    for k in (*groups, "_bucket"):
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    joined = base.join(F.broadcast(ranges), same)
     settled = F.col("_first").eqNullSafe(F.col("_last"))
     easy = joined.where(settled).select(*df.columns, F.col("_first").alias(out))
     inside = Window.partitionBy(*groups, "_bucket").orderBy("_hash", *keys)

@@ -10,7 +10,6 @@ from urlsieve.functions import risk
 from urlsieve.functions import urls as U
 from urlsieve.functions.text import strip, text
 
-MAX_HISTORY = 100
 
 
 def validate_requests(df: DataFrame, url: str = "url") -> DataFrame:
@@ -48,8 +47,8 @@ def append_scans(scans: DataFrame, path: str) -> None:
 
 
 def recent(scans: DataFrame, limit: int = 50, tie: str = "id") -> DataFrame:
-    """Newest records first, never more than the history shows; times cut to seconds."""
-    newest = scans.orderBy(F.desc("created_at"), F.desc(tie)).limit(min(limit, MAX_HISTORY))
+    """The ``limit`` newest records, newest first; times cut to seconds."""
+    newest = scans.orderBy(F.desc("created_at"), F.desc(tie)).limit(limit)
     return newest.withColumn("created_at", F.substring(F.col("created_at").cast("string"), 1, 19))
 
 

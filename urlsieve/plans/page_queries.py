@@ -185,7 +185,7 @@ walk AS (SELECT seed, seed AS url, 0 AS depth FROM seeds
 SELECT seed, url, min(depth) AS depth FROM walk GROUP BY seed, url""")
 def link_reach(spark, sf):
     edges, seeds = graph(spark, sf)
-    return C.reach(edges, seeds)
+    return C.reach(edges, seeds, K.MAX_LINK_DEPTH)
 
 
 # --- sitemaps -----------------------------------------------------------------------------
@@ -224,15 +224,14 @@ def sitemap_locs(spark, sf):
 @query("sitemap_tree", f"""WITH RECURSIVE {HREFS}, {LOCS},
 kids AS (SELECT DISTINCT sitemap_url AS src, loc AS dst FROM locs WHERE is_child AND loc <> sitemap_url),
 tree AS (SELECT 'https://sitemaps.example.org/' || page_id || '.xml' AS seed, 'https://sitemaps.example.org/' || page_id || '.xml' AS url, 0 AS depth FROM pages WHERE page_id % 50 = 0
-  UNION SELECT t.seed, k.dst, t.depth + 1 FROM tree t JOIN kids k ON k.src = t.url WHERE t.depth < 8),
-best AS (SELECT seed, url, min(depth) AS depth FROM tree GROUP BY ALL),
-rnk AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, url) AS k FROM best WHERE url IN (SELECT sitemap_url FROM maps))
-SELECT seed, url AS sitemap_url, depth FROM rnk WHERE k <= {K.MAX_SITEMAPS_PER_HOST}""")
+  UNION SELECT t.seed, k.dst, t.depth + 1 FROM tree t JOIN kids k ON k.src = t.url),
+best AS (SELECT seed, url, min(depth) AS depth FROM tree GROUP BY ALL)
+SELECT seed, url AS sitemap_url, depth FROM best WHERE url IN (SELECT sitemap_url FROM maps)""")
 def sitemap_tree(spark, sf):
     documents = maps(spark, sf)
     kids = P.sitemap_locs(documents).where("is_child").select(F.col("sitemap_url").alias("src"), F.col("loc").alias("dst"))
     roots = documents.where("page_id % 50 = 0").select(F.col("sitemap_url").alias("seed"), F.col("sitemap_url").alias("url"))
-    return C.sitemap_tree(documents, roots, kids, max_depth=8)
+    return C.sitemap_tree(documents, roots, kids)
 
 
 # crawl rows: entries of leaf sitemaps, and anchors found on the pages of a host
@@ -269,7 +268,7 @@ def seed_summary(spark, sf):
 SELECT host, sitemap_urls FROM n WHERE sitemap_urls < 100""")
 def crawl_fallback(spark, sf):
     rows = crawl_rows(spark, sf)
-    return C.needs_crawl(rows, rows.where("source = 'sitemap'"))
+    return C.needs_crawl(rows, rows.where("source = 'sitemap'"), 100)
 
 
 @query("cap_per_host", f"""WITH {HREFS}, {CRAWL}, d AS (SELECT DISTINCT host, url FROM crawl),
@@ -285,8 +284,8 @@ _LOG = ("'[{\"name_value\": \"*.' || h || '\\\\n' || upper(h) || '\\\\nwww' || p
 
 @query("ct_subdomains", f"""WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS h FROM pages),
 n AS (SELECT regexp_extract(h, '[^.]+[.][^.]+$') AS root, unnest([h, 'www' || page_id || '.' || h]) AS name FROM p),
-d AS (SELECT DISTINCT root, name FROM n WHERE name <> root), r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY name) AS k FROM d)
-SELECT root, name FROM r WHERE k <= {K.MAX_SUBDOMAINS}""")
+d AS (SELECT DISTINCT root, name FROM n WHERE name <> root)
+SELECT root, name FROM d""")
 def ct_subdomains(spark, sf):
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
     pages = table(spark, sf, "pages").select("page_id", host.alias("h"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -118,23 +119,24 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_documents(files: DataFrame) -> DataFrame:
-    """path, text of (path, content) files, gzip recognised by its first bytes; broken ones drop."""
+    """path, text of (path, content) files, gzip recognised by its first bytes, and error (NULL where it went well)."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = []
+            texts, errors = [], []
             for content in batch["content"]:
-                data = bytes(content)
+                data, wrong = bytes(content), None
                 try:
                     if data[:2] == b"\x1f\x8b":
                         data = gzip.decompress(data)
                     texts.append(data.decode("utf-8", errors="ignore"))
-                except Exception:  # noqa: BLE001
+                except (OSError, EOFError, zlib.error) as broken:
                     texts.append(None)
-            yield pd.DataFrame({"path": batch["path"], "text": texts})
+                    wrong = f"{type(broken).__name__}: {broken}"
+                errors.append(wrong)
+            yield pd.DataFrame({"path": batch["path"], "text": texts, "error": errors})
 
-    return files.select("path", "content").mapInPandas(decode, "path string, text string").where(
-        "text IS NOT NULL")
+    return files.select("path", "content").mapInPandas(decode, "path string, text string, error string")
 
 
 def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:

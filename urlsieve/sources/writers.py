@@ -29,9 +29,11 @@ def append_rows(df: DataFrame, path: str, separate: bool = False) -> None:
 def write_splits(df: DataFrame, path: str) -> None:
     """Split datasets as ``mode=.../split=...`` partitions.
 
-    Rows are spread by hash inside each partition value, so a large split is many files.
+    Rows are dealt by partition value and a hash of the row, so a split is as many files as it needs
+    and no task writes to every partition.
     """
-    df.write.mode("overwrite").partitionBy("mode", "split").parquet(path)
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(max(1, df.rdd.getNumPartitions() // 6)))
+    df.repartition("mode", "split", spread).write.mode("overwrite").partitionBy("mode", "split").parquet(path)
 
 
 def read_table_or_none(spark: SparkSession, path: str) -> DataFrame | None:

@@ -85,13 +85,16 @@ def score_requests(
 ) -> StreamingQuery:
     """Validate, featurise and score arriving URLs into a log of (url hash, verdict) records.
 
-    The log table deliberately holds a URL's hash and short form, not the URL.
+    The log table deliberately holds a URL's hash and short form, not the URL. Refused requests get a
+    record with their status and no score.
     """
 
     def scored(batch: DataFrame, batch_id: int) -> DataFrame:
-        accepted = validate_requests(batch).where("status = 'accepted'")
-        frame = MD.score_frame(model.transform(featurize(accepted)), threshold, keep)
-        return frame.withColumns({
+        checked = validate_requests(batch)
+        frame = MD.score_frame(model.transform(featurize(checked.where("status = 'accepted'"))), threshold, keep)
+        refused = checked.where("status IS DISTINCT FROM 'accepted'").select(*keep, "status")
+        both = frame.withColumn("status", F.lit("accepted")).unionByName(refused, allowMissingColumns=True)
+        return both.withColumns({
             "url_hash": U.url_hash(F.col("url")), "url_display": U.display_url(F.col("url")),
         }).drop("url")
 
