@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from urlsieve import constants as K
-from urlsieve.functions.urls import IPV4, VN_TLD_PATTERN, brand_pattern
+from urlsieve.functions.urls import CONTROLS, IPV4, VN_TLD_PATTERN, brand_pattern
 
 
 def _quoted(values) -> str:
@@ -16,13 +16,20 @@ def _raw(pattern: str) -> str:
     return 'r"' + pattern + '"'
 
 
+def _escaped(characters: str) -> str:
+    return "'" + "".join(f"\\u{ord(c):04x}" for c in characters) + "'"
+
+
 _SINGLE = _quoted(s for s in K.PROFILE_SUFFIXES if "." not in s)
 _DOUBLE = _quoted(s for s in K.PROFILE_SUFFIXES if "." in s)
 
 SCALARS = {
-    "url_host": ("u STRING", "STRING", rf"""regexp_replace(lower(regexp_extract(
-        CASE WHEN contains(u, '://') THEN trim(u) ELSE concat('http://', trim(u)) END,
-        {_raw('^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)')}, 1)), {_raw(':[0-9]+$')}, '')"""),
+    "url_netloc": ("u STRING", "STRING", rf"""regexp_extract(trim(LEADING {_escaped(CONTROLS)} FROM translate(
+        CASE WHEN contains(u, '://') THEN btrim(u, {_escaped(K.WHITESPACE)})
+             ELSE concat('http://', btrim(u, {_escaped(K.WHITESPACE)})) END, {_escaped(chr(9) + chr(13) + chr(10))}, '')),
+        {_raw('(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?')}, 1)"""),
+    "url_host": ("u STRING", "STRING", rf"""CASE WHEN contains(url_netloc(u), '[') <> contains(url_netloc(u), ']') THEN ''
+        ELSE regexp_replace(lower(url_netloc(u)), {_raw(':[0-9]+$')}, '') END"""),
     "host_tld": ("h STRING", "STRING", rf"""CASE WHEN h = '' THEN '<none>' WHEN h RLIKE {_raw(IPV4)} THEN '<ip>'
         WHEN regexp_extract(h, {_raw('[.]([^.]*[.][^.]*)$')}, 1) IN {_DOUBLE} THEN regexp_extract(h, {_raw('[.][^.]*[.][^.]*$')}, 0)
         WHEN regexp_extract(h, {_raw('[.]([^.]*)$')}, 1) IN {_SINGLE} THEN regexp_extract(h, {_raw('[.][^.]*$')}, 0)

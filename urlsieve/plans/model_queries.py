@@ -166,7 +166,7 @@ def top_blocks(spark, sf):
 SELECT page_id, variant, host, tld, domain, round({Q.entropy('url')}, 6) AS entropy,
   (regexp_matches(url, '{Q.VN_TLD}') OR regexp_matches(url, '{Q.brand_pattern()}') OR ends_with(host, '.vn')) AS is_vn,
   CASE WHEN variant <= 6 THEN 'Low Risk' WHEN variant <= 13 THEN 'Caution' WHEN variant <= 20 THEN 'Suspicious' ELSE 'High Risk' END AS risk
-FROM p WHERE url LIKE 'http%' AND url NOT LIKE '%[%' AND url NOT LIKE '%' || chr(9) || '%'""")
+FROM p""")
 def sql_functions(spark, sf):
     registry.register_sql_functions(spark)
     urls(spark, sf).createOrReplaceTempView("urlsieve_urls")
@@ -174,7 +174,7 @@ def sql_functions(spark, sf):
         SELECT page_id, variant, url_host(url) AS host, url_tld(url) AS tld, url_reg_domain(url) AS domain,
                round(url_entropy(url), 6) AS entropy, url_is_vn(url) AS is_vn,
                url_risk(CASE WHEN variant <= 6 THEN 0.25D WHEN variant <= 13 THEN 0.5D WHEN variant <= 20 THEN 0.75D ELSE 1D END) AS risk
-        FROM urlsieve_urls WHERE url LIKE 'http%' AND url NOT LIKE '%[%' AND url NOT LIKE '%\t%'""")
+        FROM urlsieve_urls""")
 
 
 @query("sql_table_function", f"""{WITH}, k AS (SELECT page_id, variant, unnest(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&')) AS piece FROM urls)
