@@ -16,7 +16,7 @@ from urlsieve.plans.page_queries import html_scan
 from urlsieve.plans.profile_queries import HOSTS
 from urlsieve.plans.registry import query
 from urlsieve.plans.tables import URLS_SQL, urls
-from urlsieve.plans.url_queries import STATS_CTE, training_rows, z_sql
+from urlsieve.plans.url_queries import STATS_CTE, held_out_rows, training_rows, z_sql
 from urlsieve.session import cut_lineage
 
 KEYS = ("page_id", "variant")
@@ -62,8 +62,8 @@ def permutation_importance(spark, sf):
 @query("train_html_lr")
 def train_html_lr(spark, sf):
     pages = html_scan(spark, sf).withColumn("label", (F.col("label") == "phish").cast("int"))
-    model = MD.train_page_model(pages, bits=14, iterations=10)
-    return evaluation(model.transform(MD.page_features(pages, bits=14)))
+    model = MD.train_page_model(training_rows(pages), bits=14, iterations=10)
+    return evaluation(model.transform(MD.page_features(held_out_rows(pages), bits=14)))
 
 
 @query("html_hashed")
@@ -80,20 +80,20 @@ def html_hashed(spark, sf):
 
 def _url_model(spark, sf):
     rows = urls(spark, sf)
-    stats = cut_lineage(FE.feature_stats(training_rows(FE.lexical_features(rows, "url", ("label",)))))
-    return rows, stats, MD.train_url_model(rows, stats, bits=12, iterations=10)
+    stats = cut_lineage(FE.feature_stats(training_rows(FE.lexical_features(rows, "url", (*KEYS, "label")))))
+    return rows, stats, MD.train_url_model(training_rows(rows), stats, bits=14, iterations=10)
 
 
 @query("train_char_lr")
 def train_char_lr(spark, sf):
     rows, stats, model = _url_model(spark, sf)
-    return evaluation(model.transform(MD.url_sequence_features(rows, stats, "url", ("label",), bits=12)))
+    return evaluation(model.transform(MD.url_sequence_features(held_out_rows(rows), stats, "url", ("label",), bits=14)))
 
 
 @query("score_urls")
 def score_urls(spark, sf):
     rows, stats, model = _url_model(spark, sf)
-    vectors = MD.url_sequence_features(rows, stats, "url", KEYS, bits=12)
+    vectors = MD.url_sequence_features(rows, stats, "url", KEYS, bits=14)
     return MD.score_frame(model.transform(vectors), 0.5, (*KEYS, "url"))
 
 
