@@ -105,13 +105,13 @@ _TALL = " UNION ALL ".join(
 
 @query("top_zscores", f"""{STATS_CTE}, tall AS ({_TALL}),
 r AS (SELECT *, row_number() OVER (PARTITION BY page_id, variant ORDER BY abs(z) DESC, position) AS rank FROM tall)
-SELECT page_id, variant, rank, feature, round(z, 4) AS z_score, CASE WHEN z > 0 THEN 'ABOVE train mean' ELSE 'BELOW train mean' END AS direction
+SELECT page_id, variant, rank, feature, z AS z_score, CASE WHEN z > 0 THEN 'ABOVE train mean' ELSE 'BELOW train mean' END AS direction
 FROM r WHERE rank <= 5""")
 def top_zscores(spark, sf):
     lex = FE.lexical_features(urls(spark, sf), "url", (*KEYS, "label"))
     z = FE.normalize_features(lex, FE.feature_stats(training_rows(lex)), KEYS)
     near = z.select(*KEYS, *(F.round(n, 6).alias(n) for n in K.LEXICAL_FEATURES))
-    return X.top_zscores(near, KEYS).withColumn("z_score", F.round("z_score", 4))
+    return X.top_zscores(near, KEYS)
 
 
 WEIGHTS = {n: ((i * 7) % 11 - 5) / 10 for i, n in enumerate(K.LEXICAL_FEATURES)}
