@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,16 @@ BLANK = " \t\n\x0b\x0c\r"
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from its folder, whatever folder the driver started in."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,7 +57,3 @@ def blank_words(text: Column) -> Column:
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows, the same ones at every run: those whose key has the smallest hashes."""
     return df.orderBy(F.xxhash64(key), key).limit(rows)
-
-
-def sql_string(parts: Sequence[str]) -> str:
-    return ", ".join("'" + p.replace("'", "''") + "'" for p in parts)
