@@ -62,37 +62,39 @@ def features(text: str | None, cells: int = CELLS) -> set[int]:
     return {zlib.crc32(w.encode("utf-8", "replace")) % cells for w in marks}
 
 
-def severity_grades(rows: list[set[int]], toxic: np.ndarray, share: float = 0.5) -> np.ndarray:
+def severity_grades(flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, share: float = 0.5) -> np.ndarray:
     """Grades 0, 1, 2 from a yes/no label: a toxic row is severe (2) when it holds more words that are
-    typical of toxic rows than the median toxic row that holds any."""
-    inside, outside = np.zeros(CELLS), np.zeros(CELLS)
-    for cells, t in zip(rows, toxic, strict=True):
-        (inside if t else outside)[list(cells)] += 1
+    typical of toxic rows than the median toxic row that holds any.
+
+    Rows are given as their cells one after the other (``flat``) and their numbers of cells.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.bincount(flat[toxic[owner] == 1], minlength=CELLS)
+    outside = np.bincount(flat[toxic[owner] == 0], minlength=CELLS)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     typical = (inside >= max(3, 0.02 * n1)) & (inside / n1 > 20 * (outside + 0.5) / n0)
-    marks = np.array([int(typical[list(c)].sum()) if c else 0 for c in rows])
+    marks = np.bincount(owner[typical[flat]], minlength=len(sizes))
     found = marks[(toxic == 1) & (marks > 0)]
     middle = np.quantile(found, share) if len(found) else np.inf
     return np.where(toxic == 1, np.where(marks > middle, 2, 1), 0)
 
 
 def fit_ordinal(
-    rows: list[set[int]], grades: np.ndarray, n_grades: int = GRADES, cells: int = CELLS,
+    flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int = GRADES, cells: int = CELLS,
     penalty: float = 1e-3, steps: int = 200,
 ) -> OrdinalModel:
     """Accelerated proximal gradient on the cumulative logistic loss, classes weighted to balance."""
     k = n_grades - 1
-    if len(rows) == 0 or len(set(grades.tolist())) < 2:
+    if len(sizes) == 0 or len(set(grades.tolist())) < 2:
         return OrdinalModel({}, [30.0] * k, cells)
-    sizes = np.array([len(r) for r in rows])
-    flat = np.fromiter((c for r in rows for c in sorted(r)), dtype=np.int64, count=int(sizes.sum()))
     seen = np.bincount(flat, minlength=cells)
     used = np.flatnonzero(seen >= 3)
-    place = np.full(cells, -1)
+    if not len(used):
+        return OrdinalModel({}, [30.0] * k, cells)
+    place = np.full(cells, -1, np.int32)
     place[used] = np.arange(len(used))
-    owner = np.repeat(np.arange(len(rows)), sizes)
     ok = place[flat] >= 0
-    col, row, n, m = place[flat][ok], owner[ok], len(rows), len(used)
+    col, row, n, m = place[flat][ok], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[ok], len(sizes), len(used)
     positive = grades >= 1
     balance = np.where(positive, 0.5 / positive.sum(), 0.5 / (~positive).sum())
     above = (grades[:, None] >= np.arange(1, n_grades)[None, :]).astype(float)
@@ -146,11 +148,11 @@ def fit_toxicity(
                 [pa.array(sets, pa.list_(pa.int32())), b.column(0), b.column(2)], ["cells", "k", "t"])
 
     got = texts.mapInArrow(cells, "cells array<int>, k long, t int").toArrow().sort_by([("k", "ascending")])
-    rows = [set(x) for x in got.column("cells").to_pylist()]
-    marks = np.array(got.column("t").to_pylist(), dtype=int)
-    if not len(rows):
-        return fit_ordinal([], marks)
-    return fit_ordinal(rows, severity_grades(rows, marks))
+    marks = got.column("t").to_numpy().astype(int)
+    lists = got.column("cells").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy()).astype(int)
+    flat = lists.flatten().to_numpy()
+    return fit_ordinal(flat, sizes, severity_grades(flat, sizes, marks))
 
 
 def with_toxicity(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
