@@ -1,8 +1,8 @@
-"""Exact token ids of the tokenizers library, with a cache of pre-tokens.
+"""Exact token ids of the tokenizers library, by a quicker library where both must agree.
 
-Byte-level BPE first cuts a text into pre-tokens and encodes each on its own, so the ids of a text are
-the ids of its pre-tokens in turn. Ids of short pre-tokens are kept in a bounded dictionary. Texts with
-characters outside the plainly classified range, or with an added-token string, go to the library whole.
+A byte-level vocabulary whose ids are its merge ranks is also a rank table, which a second library runs
+about three times as fast. Texts on which the two could differ go to the first: characters outside a
+plainly classified range, added-token strings, and very long blanks.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ import numpy as np
 import regex
 
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſ]*")
-CACHED_CHARS, CACHED = 40, 300_000
+LONG_BLANKS = (" " * 4096, "\n" * 4096, "\t" * 4096)
 
 
-class CachedBpe:
+class ExactBpe:
     """``ids(text)`` as little-endian unsigned 32-bit bytes, ``count(text)`` as a number."""
 
     def __init__(self, path: str, pattern: str):
@@ -26,37 +26,42 @@ class CachedBpe:
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cut = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.quick = self._ranked(path, pattern)
 
-    def _encode(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    @staticmethod
+    def _ranked(path: str, pattern: str):
+        """The same merges in a quicker library, if ids are merge ranks; None otherwise.
+
+        A byte-level vocabulary spells bytes as printable characters: the printable ones of Latin-1 stand
+        for themselves, the others follow from U+0100 on in order.
+        """
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in plain]
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+        vocabulary = model["vocab"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        if any(vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)):
+            return None
+        ranks = {bytes(byte[c] for c in w): i for w, i in vocabulary.items() if i < 256 + len(pairs)}
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(self, text: str) -> bytes:
-        if PLAIN.fullmatch(text) is None or any(a in text for a in self.added):
-            return self._encode(text)
-        known, parts = self.known, self.cut(text)
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        out = []
-        for p in parts:
-            found = known.get(p)
-            if found is None:
-                found = self._encode(p)
-                if len(p) <= CACHED_CHARS:
-                    if len(known) >= CACHED:
-                        known.clear()
-                    known[p] = found
-            out.append(found)
-        return b"".join(out)
+        if (self.quick is None or PLAIN.fullmatch(text) is None or any(a in text for a in self.added)
+                or any(b in text for b in LONG_BLANKS)):
+            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.asarray(self.quick(text), "<u4").tobytes()
 
     def count(self, text: str) -> int:
         return len(self.ids(text)) // 4
 
 
 @lru_cache(maxsize=2)
-def cached_bpe(path: str, pattern: str) -> CachedBpe:
+def cached_bpe(path: str, pattern: str) -> ExactBpe:
     """One tokenizer per worker process."""
-    return CachedBpe(path, pattern)
+    return ExactBpe(path, pattern)
