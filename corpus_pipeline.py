@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsieve.llm import packing, quality, secrets, simhash, toxicity
+from urlsieve.llm import copies, packing, quality, secrets, toxicity
 from urlsieve.llm.common import fence, read
 from urlsieve.session import run_dir
 
@@ -27,8 +27,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class, that of the smallest doc_id."""
-    return simhash.one_per_class(docs.select(*COLUMNS))
+    """One document of each class of near copies (five-word Jaccard of 0.8), that of the smallest doc_id."""
+    return copies.one_per_copy(docs.select(*COLUMNS))
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

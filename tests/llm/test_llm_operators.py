@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 from urlsieve.llm import (
-    html_text, licenses, neighbours, packing, pieces, quality, secrets, simhash, token_counts, toxicity,
+    copies, html_text, licenses, neighbours, packing, pieces, quality, secrets, simhash, token_counts, toxicity,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -127,6 +127,50 @@ def test_simhash_forest_keeps_classes():
     assert len(x) < len(v) and len({find(a) for a in v.tolist()}) == 40
 
 
+def brute_classes(data):
+    """Smallest key per document over links of five-word Jaccard 0.8, by all pairs."""
+    sets = []
+    for t in data.text:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    label = {i: k for i, k in enumerate(data.doc_id)}
+    links = [(i, j) for i in range(len(sets)) for j in range(i)
+             if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    while True:
+        before = dict(label)
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            return label
+
+
+def test_near_copies(spark, real, none, monkeypatch):
+    words = [f"u{i}" for i in range(200)]
+    text = " ".join(words)
+    rows = [(1, text), (2, " ".join([*words[:100], "x", *words[101:]])), (3, " ".join([*words[:100], *[f"y{i}" for i in range(9)], *words[109:]])),
+            (4, " ".join([*words[:60], *[f"z{i}" for i in range(60)], *words[120:]])), (5, None), (6, " "), (7, "One two"), (8, "one  TWO"), (9, text),
+            *((100 + i, " ".join([*(f"c{j}" for j in range(150)), f"own{i}"])) for i in range(40))]
+    made = spark.createDataFrame(rows, "doc_id long, text string").unionByName(real.selectExpr("doc_id + 1000 as doc_id", "text")).repartition(3)
+    data = made.toPandas()
+    want = Counter(zip(data.doc_id, brute_classes(data).values()))
+    for unit in (copies.UNIT, 1 << 12):  # the second cuts classes into blocks
+        monkeypatch.setattr(copies, "UNIT", unit)
+        got = Counter((r["doc_id"], r["component_id"]) for r in copies.near_copies(made).collect())
+        assert got == want
+    kept = Counter(r["doc_id"] for r in copies.one_per_copy(made).collect())
+    assert kept == Counter({k: 1 for k, c in want if k == c})
+    assert copies.near_copies(none).count() == 0 and copies.one_per_copy(none).count() == 0
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    words = [f"u{i}" for i in range(200)]
+    rows = [(1, " ".join(words), "en", "a", 1), (2, " ".join([*words[:100], *[f"y{i}" for i in range(9)], *words[109:]]), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [1]
+
+
 def brute_spans(t):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t or ""):
