@@ -299,6 +299,28 @@ def test_neighbours(spark, none):
     assert hits >= 0.9 * 20 * (ids % 20 == 0).sum() and got.query_id.nunique() == (ids % 20 == 0).sum()
 
 
+def recall(got, ids, v):
+    hits = 0
+    for q, g in got.toPandas().groupby("query_id"):
+        s = (v * v[ids == q][0]).sum(axis=1)
+        s[ids == q] = -np.inf
+        hits += len(set(ids[np.lexsort((ids, -s))[:20]]) & set(g.vec_id))
+    return hits / (20 * (ids % 20 == 0).sum())
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "outlier"])
+def test_neighbours_of_uneven_length(spark, kind):
+    data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    ids, scale = data.vec_id.to_numpy(), np.ones(len(data))
+    if kind == "lognormal":
+        scale = np.random.default_rng(0).lognormal(0, 0.5, len(data))
+    else:
+        scale[3] = 5.0
+    v = np.stack(data.embedding).astype(float) * scale[:, None]
+    df = spark.createDataFrame([(int(i), x) for i, x in zip(ids, v.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    assert recall(neighbours.search(df, "vec_id % 20 = 0"), ids, v) >= 0.9
+
+
 def test_neighbours_with_odd_vectors(spark):
     rows = [(20, [1.0, 0.0]), (1, [3.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [None, 1.0]),
             (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (None, [1.0, 1.0]), (2, [3.0, 0.0])]
