@@ -321,6 +321,23 @@ def test_neighbours_of_uneven_length(spark, kind):
     assert recall(neighbours.search(df, "vec_id % 20 = 0"), ids, v) >= 0.9
 
 
+def test_neighbours_cuts_queries_into_blocks(spark, monkeypatch):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    whole = {tuple(r) for r in neighbours.search(vectors, "vec_id % 20 = 0").collect()}
+    rows = neighbours.usable(vectors, "vec_id", "embedding")
+    exact = {tuple(r) for r in neighbours.exhaustive(rows, rows.where("_id % 20 = 0"), 20, rows.count()).collect()}
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 4)
+    plain = neighbours.within
+
+    def within(g, k):
+        assert g["_ask"].sum() < 16  # all 25 queries in one group before
+        return plain(g, k)
+
+    monkeypatch.setattr(neighbours, "within", within)
+    assert {tuple(r) for r in neighbours.search(vectors, "vec_id % 20 = 0").collect()} == whole
+    assert {tuple(r) for r in neighbours.exhaustive(rows, rows.where("_id % 20 = 0"), 20, rows.count()).collect()} == exact
+
+
 def test_neighbours_with_odd_vectors(spark):
     rows = [(20, [1.0, 0.0]), (1, [3.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [None, 1.0]),
             (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (None, [1.0, 1.0]), (2, [3.0, 0.0])]

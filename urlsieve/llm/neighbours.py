@@ -14,8 +14,8 @@ rows: with 16 axes and 6 of 32 signed axes probed in 6 tables, recall at 20 on v
 at random (where the 20th neighbour has a cosine near 0.35) is 0.96 to 0.98, at the price of reranking
 most rows; clustered vectors reach 1 with far fewer probes.
 
-Tables meet by joins on (table, part, axis). A bucket with very many rows is cut into blocks, each met by
-all probing queries, so no task holds a whole bucket; per block only a query's best rows leave the task.
+Tables meet by joins on (table, part, axis). A bucket with very many rows or queries is cut into blocks of
+both, which meet in pairs, so no task holds a whole bucket; per pair only a query's best rows leave the task.
 Queries that see fewer than k rows in their buckets are compared with every vector, in blocks.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from urlsieve.session import cut_lineage
 
 K, TABLES, AXES, PROBES, SEED = 20, 6, 16, 6, 7
-BLOCK = 4096
+BLOCK, QUERY_BLOCK = 4096, 16384  # stored vectors and queries that meet in a task
 # parts by length against the median; probes there as multiples of ``probes``, and all axes in the last
 LONGER, MORE = (1.05, 1.3, 2.0), (1.0, 4 / 3, 2.0)
 
@@ -136,12 +136,18 @@ def search(
 
     stored = cut_lineage(buckets(rows, False))
     sizes = stored.groupBy("_bucket").agg(F.count("*").alias("_n"))  # tables x parts x axes rows, a fixed number
-    blocks = F.broadcast(sizes.select("_bucket", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")))
+    probed = buckets(asked, True)
+    asks = probed.groupBy("_bucket").agg(F.count("*").alias("_m"))
+    blocks = F.broadcast(cut_lineage(sizes.join(asks, "_bucket").select(
+        "_bucket", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"), F.ceil(F.col("_m") / QUERY_BLOCK).cast("int").alias("_asks"))))
+    # every block of vectors meets every block of queries of its bucket
     left = stored.join(blocks, "_bucket").select(
-        "_bucket", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int").alias("_block"), F.lit(False).alias("_ask"), "_id", "_v")
-    right = buckets(asked, True).join(blocks, "_bucket").select(
-        "_bucket", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.lit(True).alias("_ask"), "_id", "_v")
-    found = left.unionByName(right).groupBy("_bucket", "_block").applyInPandas(
+        "_bucket", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int").alias("_block"),
+        F.explode(F.sequence(F.lit(0), F.col("_asks") - 1)).alias("_part"), F.lit(False).alias("_ask"), "_id", "_v")
+    right = probed.join(blocks, "_bucket").select(
+        "_bucket", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"),
+        F.pmod(F.xxhash64("_id", F.lit(1)), F.col("_asks")).cast("int").alias("_part"), F.lit(True).alias("_ask"), "_id", "_v")
+    found = left.unionByName(right).groupBy("_bucket", "_block", "_part").applyInPandas(
         lambda g: within(g, k), "query_id long, vec_id long, score double")
     reached = cut_lineage(found.distinct())
     wanted = min(k, facts["rows"] - 1)
@@ -185,7 +191,11 @@ def inner(v: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def exhaustive(rows: DataFrame, asked: DataFrame, k: int, total: int, per_block: int = 20_000) -> DataFrame:
     """Exact answers: blocks of vectors against blocks of queries, on (vector block, query block)."""
-    n = max(1, -(-total // per_block))
-    v = rows.select(F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int").alias("_block"), F.lit(False).alias("_ask"), "_id", "_v")
-    q = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_block"), F.lit(True).alias("_ask"), "_id", "_v")
-    return v.unionByName(q).groupBy("_block").applyInPandas(lambda g: within(g, k), "query_id long, vec_id long, score double")
+    n, m = max(1, -(-total // per_block)), max(1, -(-asked.count() // QUERY_BLOCK))
+    v = rows.select(
+        F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int").alias("_block"),
+        F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_part"), F.lit(False).alias("_ask"), "_id", "_v")
+    q = asked.select(
+        F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_block"),
+        F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(m)).cast("int").alias("_part"), F.lit(True).alias("_ask"), "_id", "_v")
+    return v.unionByName(q).groupBy("_block", "_part").applyInPandas(lambda g: within(g, k), "query_id long, vec_id long, score double")
