@@ -32,8 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with live-looking secrets masked; n_chars follows the text."""
-    clean = secrets.masked(secrets.with_secrets(docs.select(*COLUMNS)))
+    """All documents, with secrets masked that few owners or few texts carry; n_chars follows the text."""
+    judged = secrets.with_secrets(docs.select(*COLUMNS), max_owners=secrets.FEW, max_texts=secrets.FEW)
+    clean = secrets.masked(judged)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

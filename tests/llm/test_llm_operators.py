@@ -194,6 +194,19 @@ def test_secrets(docs, real, none):
     assert secrets.digest(secrets.with_secrets(none)).count() == 0
 
 
+def test_secrets_of_mirrored_texts_and_few_owners_are_masked(spark):
+    import corpus_pipeline
+
+    mirrored, shared, example = "key aB3defghijklmnopqrstuv end", "key qW3defghijklmnopqrstuv", "key zX9defghijklmnopqrstuv"
+    rows = [(1, mirrored, "a"), (2, mirrored, "b"), *((10 + i, f"{shared} {i}", f"s{i}") for i in range(2)),
+            *((20 + i, f"{example} {i}", f"s{i}") for i in range(6))]
+    docs = spark.createDataFrame([(k, t, "en", s, len(t)) for k, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r for r in secrets.digest(secrets.with_secrets(docs)).collect()}
+    assert out[1]["n_live"] == out[2]["n_live"] == 1 and "mixed" not in out[10]["spans"] + out[20]["spans"]
+    clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.secret_spans(spark, docs, SF).collect()}
+    assert clean[2] == "key [SECRET] end" and clean[11] == "key [SECRET] 1" and clean[20] == f"{example} 0"
+
+
 BPE = tokenizers.path("byte_bpe_50k.json")
 
 

@@ -1,8 +1,8 @@
 """Secret scans: candidate spans per document, judged by how widely a value is owned.
 
 Candidates are the three base kinds (fixed by the result contract) and long mixed tokens. The hash of
-every value is aggregated by distinct owners: a value that many owners carry is a copied example, one
-that stays with a single owner looks like a live credential. Base spans always stay; a mixed token
+every value is aggregated by distinct owners and by distinct texts (a mirrored document counts once): a
+value that several owners carry in several texts is a copied example, any other looks like a live credential. Base spans always stay; a mixed token
 becomes a span only when its value looks live.
 
 Built-in functions only. Texts stay in their rows: only documents that hold a mixed token send a few
@@ -26,7 +26,8 @@ HEX = "[0-9a-f]+"
 # The method's own candidates: runs of 20 or more token characters with both cases and a digit.
 MIXED = "[A-Za-z0-9_-]{20,}"
 KINDS = ("assign", "access", "hex", "mixed")
-MAX_OWNERS = 1
+MAX_OWNERS = MAX_TEXTS = 1
+FEW = 3  # owners and texts up to which the pipeline masks a value
 MASK = "[SECRET]"
 
 
@@ -66,25 +67,26 @@ def candidates(text: Column) -> Column:
 
 
 def ownership(found: DataFrame, owner: str) -> DataFrame:
-    """``_h, n_owners, n_places`` per value hash of ``found`` (owner, _spans).
+    """``_h, n_owners, n_texts, n_places`` per value hash of ``found`` (owner, _text_id, _spans).
 
-    Owners are made distinct per value before they are counted, with map-side combination, so a value
-    that a third of all rows carry costs one row per task.
+    Owners and texts are made distinct per value before they are counted, with map-side combination, so a
+    value that a third of all rows carry costs one row per task, owner and text.
     """
-    each = found.select(F.col(owner).alias("_o"), F.explode("_spans").alias("_x")).select(
-        "_o", F.xxhash64("_x.value").alias("_h"))
-    return each.groupBy("_h", "_o").agg(F.count("*").alias("_c")).groupBy("_h").agg(
-        F.count("*").alias("n_owners"), F.sum("_c").alias("n_places"))
+    each = found.select(F.col(owner).alias("_o"), F.col("_text_id").alias("_t"), F.explode("_spans").alias("_x")).select(
+        "_o", "_t", F.xxhash64("_x.value").alias("_h"))
+    return each.groupBy("_h").agg(
+        F.count_distinct("_o").alias("n_owners"), F.count_distinct("_t").alias("n_texts"), F.count("*").alias("n_places"))
 
 
 def with_secrets(
     docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source",
-    max_owners: int = MAX_OWNERS,
+    max_owners: int = MAX_OWNERS, max_texts: int = MAX_TEXTS,
 ) -> DataFrame:
-    """All rows and columns of ``docs`` plus ``secrets``: structs (kind, s, e, value, n_owners, live).
+    """All rows and columns of ``docs`` plus ``secrets``: structs (kind, s, e, value, n_owners, n_texts, live).
 
     Places are code points, end exclusive, in order of start, then kind. ``live`` is true when at most
-    ``max_owners`` distinct owners carry the value; a null owner counts as one owner. Null and empty
+    ``max_owners`` distinct owners or at most ``max_texts`` distinct texts carry the value; a null owner counts
+    as one owner, and copies of a text, whatever their keys, as one text. Null and empty
     texts have no spans. Rows that repeat, null keys included, get the same spans each.
     """
     cand, listed, verdict = free_names(docs, "_cand", "_listed", "_verdict")
@@ -92,24 +94,24 @@ def with_secrets(
     values = F.transform(F.col(cand), lambda x: F.xxhash64(x["value"]))
     keep = [c for c in docs.columns if c != "secrets"]
     found = fence(docs.select(*keep, candidates(F.col(text)).alias(cand)))
-    slim = found.where(F.size(cand) > 0).select(owned.alias("_owner"), F.col(cand).alias("_spans"), values.alias("_set"))
+    slim = found.where(F.size(cand) > 0).select(owned.alias("_owner"), F.xxhash64(text).alias("_text_id"), F.col(cand).alias("_spans"), values.alias("_set"))
     table = ownership(slim, "_owner")
     # Copies of a document share one list of values; lists travel once each, with the count per place.
     lists = slim.select(F.xxhash64("_set").alias("_id"), "_set").groupBy("_id").agg(F.min("_set").alias("_set"))
     judged = (
         lists.select("_id", F.posexplode("_set").alias("_at", "_h")).join(table, "_h").groupBy("_id")
-        .agg(F.sort_array(F.collect_list(F.struct("_at", "n_owners"))).alias(verdict))
+        .agg(F.sort_array(F.collect_list(F.struct("_at", "n_owners", "n_texts"))).alias(verdict))
     )
-    none = F.array().cast("array<struct<kind:string,s:int,e:int,value:string,n_owners:bigint,live:boolean>>")
+    none = F.array().cast("array<struct<kind:string,s:int,e:int,value:string,n_owners:bigint,n_texts:bigint,live:boolean>>")
     without = found.where(F.size(cand) == 0).select(*keep, none.alias("secrets"))
     joined = found.where(F.size(cand) > 0).withColumn(listed, F.xxhash64(values)).join(
         judged.withColumnRenamed("_id", listed), listed)
     owners = F.col(verdict)
 
     def judge(x: Column, i: Column) -> Column:
-        n = F.get(owners, i)["n_owners"]
+        n, m = F.get(owners, i)["n_owners"], F.get(owners, i)["n_texts"]
         return F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"),
-                        n.alias("n_owners"), (n <= max_owners).alias("live"))
+                        n.alias("n_owners"), m.alias("n_texts"), ((n <= max_owners) | (m <= max_texts)).alias("live"))
 
     kept = F.filter(F.transform(F.col(cand), judge), lambda x: (x["kind"] != "mixed") | x["live"])
     order = F.transform(kept, lambda x: F.struct(
