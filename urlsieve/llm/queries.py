@@ -8,11 +8,14 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsieve.llm import html_text, licenses, neighbours, packing, pieces, quality, secrets, simhash, token_counts, toxicity
+from urlsieve.llm import (
+    alignment, html_text, licenses, manifest, neighbours, packing, pieces, prefix_bpe, quality, secrets, simhash, token_counts, toxicity,
+)
 from urlsieve.llm.common import read
 from urlsieve.session import run_dir
 
 BYTE_BPE, PIECES = tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model")
+RANKS = tokenizers.path("byte_bpe_50k.tiktoken")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,3 +88,28 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_sentencepiece")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(read(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+
+
+@query("op11_prefix_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return prefix_bpe.round_trips(docs, RANKS, tokenizers.PATTERN).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = alignment.align(docs, BYTE_BPE, tokenizers.PATTERN, PIECES)
+    slim = aligned.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"),
+        "pairs", "pair_links", F.monotonically_increasing_id().alias("row"))
+    counted = alignment.with_corpus_counts(alignment.stored(slim, spark, "alignment"), "row")
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op13_merkle_manifest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return manifest.verified(docs, tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
