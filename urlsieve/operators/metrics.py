@@ -1,7 +1,8 @@
 """Evaluation of score tables: thresholds, curves, areas, confusion counts, histograms.
 
 A score table has a probability and a 0/1 label. Exact curves are computed on distinct scores:
-equal scores collapse map-side, and the running totals over the rest are distributed.
+equal scores collapse map-side, and the running totals over the rest are distributed (``curves``).
+Group columns give one curve for each of their values, all in the same jobs.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from urlsieve import constants as K
 from urlsieve.functions import risk
 from urlsieve.functions.text import ratio
-from urlsieve.operators.ranks import bucket_by_depth, running
+from urlsieve.operators.curves import running_counts, score_counts
 from urlsieve.session import inline_table
 
 
@@ -88,47 +89,50 @@ def scored_rows(df: DataFrame, score: str = "score", label: str = "label") -> Da
     return df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
 
 
-def cumulative(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """threshold, pos, neg (at that score), tp, fp (at or above it), n_pos, n_neg (in all)."""
-    df = scored_rows(df, score, label)
-    positive = (F.col(label) == 1).cast("long")
-    by_score = df.groupBy(F.col(score).alias("threshold")).agg(
-        F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg")
-    )
-    totals = df.agg(F.sum(positive).alias("n_pos"), F.sum(1 - positive).alias("n_neg"))
-    rows = df.select(F.col(score).alias("threshold"))
-    summed = running(
-        bucket_by_depth(by_score, "threshold", rows=rows), [F.desc("threshold")], -F.col("_depth"),
-        sums={"tp": F.col("pos"), "fp": F.col("neg")}, few_buckets=True,
-    )
-    return summed.drop("_depth").crossJoin(F.broadcast(totals))
+def cumulative(
+    df: DataFrame, score: str = "score", label: str = "label", groups: Sequence[str] = (),
+) -> DataFrame:
+    """threshold, pos, neg (at that score), tp, fp (at or above it), n_pos, n_neg (in all), per group."""
+    return running_counts(score_counts(scored_rows(df, score, label), score, label, groups), groups)
 
 
-def curve_areas(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """ROC area (ties count half) and average precision (a step sum, not a trapezoid)."""
-    c = cumulative(df, score, label)
+def areas_of(points: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Areas from the rows of :func:`cumulative`."""
     tp, fp, pos, neg = (F.col(x).cast("double") for x in ("tp", "fp", "pos", "neg"))
-    sums = c.agg(
+    sums = points.groupBy(*groups).agg(
         F.sum(neg * (tp - pos / 2)).alias("_wins"),
         F.sum(pos * tp / (tp + fp)).alias("_steps"),
         F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"),
     )
     return sums.select(
-        "n_pos", "n_neg",
+        *groups, "n_pos", "n_neg",
         ratio(F.col("_wins"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("roc_auc"),
         ratio(F.col("_steps"), F.col("n_pos")).alias("pr_auc"),
     )
 
 
-def curve_points(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """One point per distinct score: what precision-recall and ROC plots draw."""
-    c = cumulative(df, score, label)
-    return with_rates(c.select(
-        "threshold", "tp", "fp", (F.col("n_pos") - F.col("tp")).alias("fn"),
+def curve_areas(
+    df: DataFrame, score: str = "score", label: str = "label", groups: Sequence[str] = (),
+) -> DataFrame:
+    """ROC area (ties count half) and average precision (a step sum, not a trapezoid), per group."""
+    return areas_of(cumulative(df, score, label, groups), groups)
+
+
+def points_of(rows: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Confusion counts and rates at each distinct score, from the rows of :func:`cumulative`."""
+    return with_rates(rows.select(
+        *groups, "threshold", "tp", "fp", (F.col("n_pos") - F.col("tp")).alias("fn"),
         (F.col("n_neg") - F.col("fp")).alias("tn"),
     ))
 
 
+def curve_points(
+    df: DataFrame, score: str = "score", label: str = "label", groups: Sequence[str] = (),
+) -> DataFrame:
+    """One point per distinct score: what precision-recall and ROC plots draw."""
+    return points_of(cumulative(df, score, label, groups), groups)
+
+
 # --- threshold grid -----------------------------------------------------------------------
 
 def threshold_sweep(
@@ -174,9 +178,9 @@ POINT = ("threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "fpr"
 
 def operating_points(
     rows: DataFrame, precision_floor: float = 0.99, recall_floor: float = 0.99,
-    degrade: bool = True,
+    degrade: bool = True, groups: Sequence[str] = (),
 ) -> DataFrame:
-    """The default, safer and precise operating points of a sweep or of curve points.
+    """The default, safer and precise operating points of a sweep or of curve points, per group.
 
     default: best F1 (lowest threshold among equals). safer: lowest threshold that keeps the
     precision floor. precise: highest threshold that keeps the recall floor. When no row keeps a
@@ -194,16 +198,47 @@ def operating_points(
     precise = best(F.col("threshold"), F.col("recall") >= recall_floor)
     safer_else = best(F.col("recall")) if degrade else default
     precise_else = best(F.col("precision")) if degrade else default
-    picked = rows.agg(
+    picked = rows.groupBy(*groups).agg(
         default.alias("default"), F.coalesce(safer, safer_else).alias("safer"),
         F.coalesce(precise, precise_else).alias("precise"),
     )
-    return picked.select(F.inline(F.array(*(
+    return picked.select(*groups, F.inline(F.array(*(
         F.struct(F.lit(op).alias("op"), *(F.col(op)[c].alias(c) for c in POINT))
         for op in ("default", "safer", "precise")
     ))))
 
 
+def results_by_split(
+    df: DataFrame, score: str = "score", label: str = "label", mode: str = "mode", split: str = "split", tuned_on: str = "val",
+    precision_floor: float = 0.99, recall_floor: float = 0.99, digits: int | None = None,
+) -> DataFrame:
+    """The evaluation table: one row per (mode, split, operating point).
+
+    Thresholds are the exact operating points of a mode's ``tuned_on`` rows and are applied to all its
+    splits. With them come the areas and counts of each split. Scores are read once: curves of all
+    modes and splits are grouped, and counts at the thresholds are one aggregation of distinct scores.
+    A mode without tuning rows has no rows. ``digits`` rounds rates before they are compared.
+    """
+    keys = (mode, split)
+    counts = score_counts(scored_rows(df, score, label), score, label, keys)
+    curve = running_counts(counts, keys)
+    tuning = points_of(curve.where(F.col(split) == tuned_on).drop(split), (mode,))
+    if digits is not None:
+        tuning = tuning.withColumns({c: F.round(c, digits) for c in ("precision", "recall", "f1", "fpr")})
+    # three rows per mode
+    tuned = operating_points(tuning, precision_floor, recall_floor, groups=(mode,)).select(
+        F.col(mode).alias("_mode"), "op", F.col("threshold").alias("_cut"))
+    hit = F.col("threshold") >= F.col("_cut")
+    some = lambda c, where: F.sum(F.when(where, F.col(c)).otherwise(0))
+    at = counts.join(F.broadcast(tuned), F.col(mode).eqNullSafe(F.col("_mode"))).groupBy(*keys, "op").agg(
+        F.first("_cut").alias("threshold"), some("pos", hit).alias("tp"), some("neg", hit).alias("fp"),
+        some("pos", ~hit).alias("fn"), some("neg", ~hit).alias("tn"))
+    areas = areas_of(curve, keys).withColumnsRenamed({mode: "_mode", split: "_split"})
+    same = F.col(mode).eqNullSafe(F.col("_mode")) & F.col(split).eqNullSafe(F.col("_split"))
+    return with_rates(at).join(F.broadcast(areas), same).select(
+        *keys, "op", (F.col("n_pos") + F.col("n_neg")).alias("n_samples"), "n_pos", "n_neg", "roc_auc", "pr_auc", *POINT)
+
+
 def resolve_thresholds(requests: DataFrame, table: DataFrame) -> DataFrame:
     """Threshold per request: its own, else the tuned one of its (mode, op), else 0.5."""
     tuned = table.select("mode", "op", F.col("threshold").alias("_tuned"))

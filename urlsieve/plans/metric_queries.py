@@ -159,6 +159,50 @@ def operating_points_exact(spark, sf):
     return M.operating_points(points, degrade=False)
 
 
+# Two modes of splitting the same rows: by row and by order.
+_PARTS = """SELECT *, CASE WHEN part < 6 THEN 'train' WHEN part < 8 THEN 'val' ELSE 'test' END AS split FROM (
+  SELECT 'random' AS mode, (l_orderkey + l_linenumber) % 10 AS part, label, fine FROM s
+  UNION ALL SELECT 'domain', l_orderkey % 10, label, fine FROM s)"""
+
+
+def mode_rows(spark, sf):
+    rows = scores(spark, sf)
+    part = F.when(F.col("part") < 6, "train").when(F.col("part") < 8, "val").otherwise("test")
+    modes = [rows.select(F.lit(m).alias("mode"), p.alias("part"), "label", "fine")
+             for m, p in (("random", (F.col("l_orderkey") + F.col("l_linenumber")) % 10), ("domain", F.col("l_orderkey") % 10))]
+    return modes[0].unionByName(modes[1]).withColumn("split", part)
+
+
+def _by_mode_sql(pf: float, rf: float) -> str:
+    def pick(where: str, order: str, op: str) -> str:
+        return (f"SELECT mode, '{op}' AS op, threshold FROM r WHERE split = 'val' AND {where} "
+                f"QUALIFY row_number() OVER (PARTITION BY mode ORDER BY {order}) = 1")
+
+    some = "EXISTS (SELECT 1 FROM r q WHERE q.split = 'val' AND q.mode = r.mode AND q.{} >= {})"
+    safer, precise = some.format("precision", pf), some.format("recall", rf)
+    return f"""{WITH}, m AS MATERIALIZED ({_PARTS}),
+d AS (SELECT mode, split, fine AS threshold, sum(label)::BIGINT AS pos, sum(1 - label)::BIGINT AS neg FROM m GROUP BY ALL),
+k AS MATERIALIZED (SELECT *, (sum(pos) OVER w)::BIGINT AS tp, (sum(neg) OVER w)::BIGINT AS fp, (sum(pos) OVER g)::BIGINT AS n_pos,
+  (sum(neg) OVER g)::BIGINT AS n_neg FROM d WINDOW w AS (PARTITION BY mode, split ORDER BY threshold DESC), g AS (PARTITION BY mode, split)),
+r AS MATERIALIZED (SELECT mode, split, threshold, {RATES} FROM (SELECT *, n_pos - tp AS fn, n_neg - fp AS tn FROM k)),
+o AS MATERIALIZED ({pick('true', 'f1 DESC, threshold', 'default')}
+ UNION ALL {pick(f'precision >= {pf}', 'threshold', 'safer')} UNION ALL {pick(f'NOT {safer}', 'recall DESC, threshold', 'safer')}
+ UNION ALL {pick(f'recall >= {rf}', 'threshold DESC', 'precise')} UNION ALL {pick(f'NOT {precise}', 'precision DESC, threshold', 'precise')}),
+a AS (SELECT mode, split, max(n_pos) AS n_pos, max(n_neg) AS n_neg, round({_ROC}, 6) AS roc_auc, round({_AP}, 6) AS pr_auc FROM k GROUP BY ALL),
+c AS (SELECT m.mode, m.split, o.op, o.threshold, {counts_sql('fine', 'o.threshold')} FROM m JOIN o USING (mode) GROUP BY ALL)
+SELECT mode, split, op, n_pos + n_neg AS n_samples, n_pos, n_neg, roc_auc, pr_auc, threshold, tp, fp, fn, tn, {RATES} FROM c JOIN a USING (mode, split)"""
+
+
+@query("results_by_mode", _by_mode_sql(0.99, 0.99))
+def results_by_mode(spark, sf):
+    return rounded(M.results_by_split(mode_rows(spark, sf), "fine", digits=6), "threshold")
+
+
+@query("results_by_mode_floors", _by_mode_sql(0.25, 0.4))
+def results_by_mode_floors(spark, sf):
+    return rounded(M.results_by_split(mode_rows(spark, sf), "fine", precision_floor=0.25, recall_floor=0.4, digits=6), "threshold")
+
+
 # Requests for thresholds: one per order line, some with a threshold of their own.
 _MODES, _OPS = ("random", "domain", "other"), ("default", "safer", "precise", "unknown")
 _TUNED = [(mode, op, t + i / 100) for i, mode in enumerate(("random", "domain"))

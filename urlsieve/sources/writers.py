@@ -57,6 +57,15 @@ def write_artifact(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def store_results(fresh: DataFrame, path: str) -> None:
+    """Merge an evaluation table by (mode, split) into the stored one: those of ``fresh`` are replaced, all others stay.
+
+    A (mode, split) is a partition that is overwritten whole, so a repeated write changes nothing.
+    """
+    fresh.repartition("mode", "split").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "mode", "split").parquet(path)
+
+
 def config_key(config: Mapping[str, Any]) -> str:
     return hashlib.md5(json.dumps(dict(config), sort_keys=True).encode()).hexdigest()[:12]
 
