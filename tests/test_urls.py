@@ -142,3 +142,53 @@ def test_non_finite_scores(spark):
     shifted = stats.withColumn("mean", F.when(F.col("feature") == "num_dots", F.lit(float("nan"))).otherwise(F.col("mean")))
     with pytest.raises(Exception, match="not finite|DIVIDE_BY_ZERO"):
         FE.normalize_features(raw, shifted, repair=False).collect()
+
+
+RULES = ["com", "uk", "co.uk", "a.b.example.com", "*.ck", "!www.ck", "*.kobe.jp", "!city.kobe.jp", "jp"]
+SUFFIXES = [
+    ("x.com", "com"), ("com", "com"), ("deep.x.co.uk", "co.uk"), ("x.uk", "uk"), ("y.a.b.example.com", "a.b.example.com"),
+    ("b.example.com", "com"), ("x.y.ck", "y.ck"), ("y.ck", "y.ck"), ("ck", "ck"), ("www.ck", "ck"), ("z.www.ck", "ck"),
+    ("a.b.kobe.jp", "b.kobe.jp"), ("x.city.kobe.jp", "kobe.jp"), ("kobe.jp", "jp"), ("a.foo.eu", "eu"), ("", ""), (None, ""),
+]
+
+
+@pytest.mark.parametrize("form", ["plan", "table"])
+@pytest.mark.parametrize("unlisted", [True, False])
+def test_suffix_rules(spark, form, unlisted):
+    from urlsieve.functions.suffixes import SuffixRules, SuffixTable
+
+    rules = SuffixRules(RULES, unlisted) if form == "plan" else SuffixTable(spark.createDataFrame([(r,) for r in RULES], "rule string"), unlisted)
+    hosts = spark.createDataFrame([(h,) for h, _ in SUFFIXES] * 2, "host string")
+    got = rules.with_suffix(hosts, "host", "s").collect()
+    want = {h: "" if not unlisted and h in ("ck", "a.foo.eu") else s for h, s in SUFFIXES}
+    assert len(got) == 2 * len(SUFFIXES) and all(r["s"] == want[r["host"]] for r in got)
+
+
+def test_sites_under_unlisted_suffixes_differ(spark):
+    from urlsieve.functions.suffixes import SuffixRules
+
+    links = spark.createDataFrame([("http://a.foo.eu/", "http://b.bar.eu/"), ("http://a.foo.eu/", "http://b.foo.eu/")], "src string, dst string")
+    from urlsieve.operators import pages
+
+    assert [r["dst"] for r in pages.same_site(links, rules=SuffixRules(RULES)).collect()] == ["http://b.foo.eu/"]
+
+
+def test_rule_files(spark, tmp_path, monkeypatch):
+    from urlsieve.functions import suffixes
+
+    (tmp_path / "rules.txt").write_text("// list\n\ncom\n*.CK  comment\n!www.ck\n.uk\n")
+    hosts = spark.createDataFrame([("x.y.ck",), ("www.ck",), ("a.b.uk",)], "host string")
+    for limit in (10, 2):
+        monkeypatch.setattr(suffixes, "INLINE_RULES", limit)
+        rules = suffixes.read_rules(spark, str(tmp_path / "rules.txt"))
+        assert isinstance(rules, suffixes.SuffixRules if limit == 10 else suffixes.SuffixTable)
+        assert {r["host"]: r["s"] for r in rules.with_suffix(hosts, "host", "s").collect()} == {"x.y.ck": "y.ck", "www.ck": "ck", "a.b.uk": "uk"}
+
+
+def test_features_under_rules(spark):
+    from urlsieve.functions.suffixes import SuffixRules
+    from urlsieve.operators import features
+
+    df = spark.createDataFrame([("http://x.deep.y.ck/",)], "url string")
+    row = features.tabular_features(df, rules=SuffixRules(RULES)).first()
+    assert (row["tld_label_count"], row["host_num_subdomains"], row["tld_missing"]) == (2, 1, 0)

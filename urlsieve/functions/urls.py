@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlsieve import constants as K
+from urlsieve.functions.suffixes import SuffixRules, SuffixTable
 from urlsieve.functions.text import strip, text
 
+Rules = SuffixRules | SuffixTable
+
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 IPV4 = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
 IPV4_LOOSE = r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"
@@ -256,17 +259,25 @@ def split_domain(url: Column) -> Column:
     )
 
 
-def with_suffix_parts(df: DataFrame, host: Column, prefix: str) -> DataFrame:
-    """Add ``<prefix>suffix``, ``domain`` and ``subdomain`` of a host, each computed once per row."""
+def with_suffix_parts(df: DataFrame, host: Column, prefix: str, rules: Rules | None = None) -> DataFrame:
+    """Add ``<prefix>suffix``, ``domain`` and ``subdomain`` of a host, each computed once per row.
+
+    Suffixes are those of ``rules``, else of the fixed list.
+    """
     lookup, is_address = F.col(prefix + "_lookup"), F.col(prefix + "_ip")
     suffix, front = F.col(prefix + "suffix"), F.col(prefix + "_front")
     domain = F.col(prefix + "domain")
+    df = df.withColumns({prefix + "_lookup": host})
+    if rules is None:
+        listed, rule = listed_suffix(lookup, K.ALL_SUFFIXES, whole=True), None
+    else:
+        rule = prefix + "_rule"
+        df = rules.with_suffix(df, prefix + "_lookup", rule)
+        listed = F.col(rule)
     staged = (
-        df.withColumns({prefix + "_lookup": host})
-        .withColumns({
+        df.withColumns({
             prefix + "_ip": is_ip(lookup),
-            prefix + "suffix": F.when(is_ip(lookup), text("")).otherwise(
-                F.coalesce(listed_suffix(lookup, K.ALL_SUFFIXES, whole=True), text(""))),
+            prefix + "suffix": F.when(is_ip(lookup), text("")).otherwise(F.coalesce(listed, text(""))),
         })
         .withColumns({
             prefix + "_front": F.when(is_address | (suffix == ""), lookup)
@@ -281,7 +292,7 @@ def with_suffix_parts(df: DataFrame, host: Column, prefix: str) -> DataFrame:
     ).otherwise(text(""))
     return fenced(staged, {
         prefix + "suffix": suffix, prefix + "domain": domain, prefix + "subdomain": subdomain,
-    }).drop(prefix + "_lookup", prefix + "_ip", prefix + "_front")
+    }).drop(prefix + "_lookup", prefix + "_ip", prefix + "_front", *filter(None, [rule]))
 
 
 def lenient_host(url: Column) -> Column:
@@ -463,22 +474,22 @@ def with_normal_url(df: DataFrame, url: str, out: str, base: str | None = None)
     return fenced(staged, {out: normal}).drop(*("_n_" + n for n in names), "_host", "_port", "_odd", "_path", "_abs")
 
 
-def with_site_of_host(df: DataFrame, host: Column, out: str) -> DataFrame:
+def with_site_of_host(df: DataFrame, host: Column, out: str, rules: Rules | None = None) -> DataFrame:
     """Add the registered site of a host: domain label plus suffix, else the domain, else the
-    host itself."""
+    host itself. Suffixes are those of ``rules``, else of the fixed list."""
     low, suffix, domain = F.col("_h"), F.col("_s_suffix"), F.col("_s_domain")
     site = (
         F.when(domain == "", low).when(suffix == "", domain)
         .otherwise(F.concat(domain, text("."), suffix))
     )
-    staged = with_suffix_parts(df.withColumns({"_h": F.lower(host)}), low, "_s_")
+    staged = with_suffix_parts(df.withColumns({"_h": F.lower(host)}), low, "_s_", rules)
     return fenced(staged, {out: site}).drop("_h", "_s_suffix", "_s_domain", "_s_subdomain")
 
 
-def with_site(df: DataFrame, url: str, out: str) -> DataFrame:
+def with_site(df: DataFrame, url: str, out: str, rules: Rules | None = None) -> DataFrame:
     """Add the registered site of a URL's host."""
     split = with_split(df, F.col(url), "_u_")
-    named = with_site_of_host(split, hostname(F.col("_u_netloc")), out)
+    named = with_site_of_host(split, hostname(F.col("_u_netloc")), out, rules)
     return named.drop(*("_u_" + n for n in ("scheme", "netloc", "path", "query", "fragment")))
 
 

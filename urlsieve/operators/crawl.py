@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlsieve import constants as K
-from urlsieve.functions.urls import with_site
+from urlsieve.functions.urls import Rules, with_site
 from urlsieve.operators.lookups import hot_keys
 from urlsieve.operators.pages import cap_per_group
 from urlsieve.operators.ranks import running
@@ -18,7 +18,7 @@ SALTS = 64
 
 
 def reach(
-    edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, on_site: bool = True
+    edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, on_site: bool = True, rules: Rules | None = None
 ) -> DataFrame:
     """seed, url, depth: what a breadth-first walk from each seed finds, at its least depth.
 
@@ -31,9 +31,9 @@ def reach(
     """
     links = edges.select("src", "dst").where("dst IS NOT NULL AND src <> dst").distinct()
     # the site of a target is found once here, not again at every level and for every seed
-    links = with_site(links, "dst", "dst_site") if on_site else links.withColumn("dst_site", F.lit(""))
+    links = with_site(links, "dst", "dst_site", rules) if on_site else links.withColumn("dst_site", F.lit(""))
     if on_site:  # a walk stays on its site, so only links between pages of one site can take part
-        links = with_site(links, "src", "src_site").where("src_site = dst_site").drop("src_site")
+        links = with_site(links, "src", "src_site", rules).where("src_site = dst_site").drop("src_site")
     links = cut_lineage(links)
     # at most HOT_SHARE hubs exist, see hot_keys
     hubs = cut_lineage(hot_keys(links, "src").select(F.col("src").alias("_hub")))
@@ -43,7 +43,7 @@ def reach(
         .otherwise(0).cast("int").alias("_salt"))
     known = seeds.select("seed", "url").distinct().withColumn("depth", F.lit(0))
     if on_site:
-        known = with_site(known, "seed", "_site")
+        known = with_site(known, "seed", "_site", rules)
     known = frontier = cut_lineage(known)
     keep = [c for c in known.columns if c not in ("url", "depth")]
     for depth in count(1):

@@ -38,12 +38,12 @@ def extension(segment: Column) -> Column:
     return F.when(F.contains(segment, text(".")), F.substring_index(segment, ".", -1))
 
 
-def tabular_parts(df: DataFrame, url: str = "url") -> DataFrame:
+def tabular_parts(df: DataFrame, url: str = "url", rules: U.Rules | None = None) -> DataFrame:
     """Parsed columns behind the tabular features, prefixed ``t_``."""
     df = df.withColumns({"t_raw": T.strip(F.coalesce(F.col(url), text("")))})
     df = df.withColumns({"t_url": F.lower("t_raw")})
     df = U.with_split(df, F.col("t_url"), "t_")
-    df = U.with_suffix_parts(df, U.lenient_host(F.col("t_url")), "t_")
+    df = U.with_suffix_parts(df, U.lenient_host(F.col("t_url")), "t_", rules)
     df = df.withColumns({
         "t_host": U.hostname(F.col("t_netloc")),
         "t_port": U.valid_port(F.col("t_netloc")),
@@ -136,10 +136,15 @@ def _tabular_columns() -> dict[str, Column]:
     return out
 
 
-def tabular_features(df: DataFrame, url: str = "url", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The 105 tabular features in their declared order, after the columns named in ``keep``."""
+def tabular_features(
+    df: DataFrame, url: str = "url", keep: tuple[str, ...] = (), rules: U.Rules | None = None,
+) -> DataFrame:
+    """The 105 tabular features in their declared order, after the columns named in ``keep``.
+
+    Suffixes are those of ``rules``, else of the fixed list.
+    """
     made = _tabular_columns()
-    return tabular_parts(df.select(*dict.fromkeys([*keep, url])), url).select(
+    return tabular_parts(df.select(*dict.fromkeys([*keep, url])), url, rules).select(
         *keep, *(made[name].alias(name) for name in K.TABULAR_FEATURES)
     )
 

@@ -111,10 +111,10 @@ def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     return U.with_normal_url(raw, "href", "dst", base="src")
 
 
-def same_site(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def same_site(links: DataFrame, src: str = "src", dst: str = "dst", rules: U.Rules | None = None) -> DataFrame:
     """Links that stay on the registered site of their page."""
     known = links.where(F.col(dst).isNotNull())
-    sites = U.with_site(U.with_site(known, src, "_a"), dst, "_b")
+    sites = U.with_site(U.with_site(known, src, "_a", rules), dst, "_b", rules)
     return sites.where("_a = _b").drop("_a", "_b")
 
 
@@ -142,7 +142,9 @@ def crawl_minus_sitemap(crawled: DataFrame, sitemap: DataFrame) -> DataFrame:
 
 # --- certificate names --------------------------------------------------------------------
 
-def certificate_names(log: DataFrame, root: str = "root", entries: str = "entries", cap: int | None = None) -> DataFrame:
+def certificate_names(
+    log: DataFrame, root: str = "root", entries: str = "entries", cap: int | None = None, rules: U.Rules | None = None,
+) -> DataFrame:
     """root, name: host names below a root domain from certificate-log entries.
 
     Wildcards lose their prefix, names of other sites and names with odd characters are dropped.
@@ -155,7 +157,7 @@ def certificate_names(log: DataFrame, root: str = "root", entries: str = "entrie
     clean = names.select("root", F.ltrim(strip(F.col("n")), text("*.")).alias("name"))
     plain = clean.where(F.col("name").rlike("^[a-z0-9.-]+$"))
     sited = U.with_site_of_host(
-        U.with_site_of_host(plain, F.col("root"), "_root"), F.col("name"), "_own")
+        U.with_site_of_host(plain, F.col("root"), "_root", rules), F.col("name"), "_own", rules)
     kept = sited.where("_own = _root AND name <> _root").select("root", "name").distinct()
     return kept if cap is None else cap_per_group(kept, ["root"], ["name"], cap)
 

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from urlsieve import constants as K
 from urlsieve.functions import urls as U
+from urlsieve.functions.suffixes import SuffixRules
 from urlsieve.operators import crawl as C
 from urlsieve.operators import pages as P
 from urlsieve.plans import sqlkit as Q
 from urlsieve.plans.registry import query
 from urlsieve.plans.tables import BAD_HOST, pages_table, table
+from urlsieve.plans.url_queries import RULES, rule_suffix_ctes
 from urlsieve.session import spread
 
 WSC = K.WHITESPACE_CLASS
@@ -156,6 +158,24 @@ def same_site_links(spark, sf):
     return P.same_site(P.page_links(pages_table(spark, sf))).select("page_id", "position", "dst")
 
 
+def ruled_ctes(hosts: str) -> str:
+    """CTE ``sites(host, site)`` under the test rules."""
+    front = Q.front("host", "suffix")
+    return f"""{rule_suffix_ctes(hosts)},
+sites AS MATERIALIZED (SELECT host, CASE WHEN suffix = host THEN host ELSE {Q.last_label(front)} || '.' || suffix END AS site FROM ruled)"""
+
+
+_HOST_OF = "regexp_extract({}, '^[a-z]+://([^/:?#]*)', 1)"
+
+
+@query("same_site_rules", f"""WITH {HREFS}, {resolved_ctes('links0', 'links')},
+k AS MATERIALIZED (SELECT page_id, position, dst, {_HOST_OF.format('src')} AS a, {_HOST_OF.format('dst')} AS b FROM links WHERE dst IS NOT NULL),
+{ruled_ctes('SELECT a AS host FROM k UNION SELECT b FROM k')}
+SELECT page_id, position, dst FROM k JOIN sites x ON x.host = a JOIN sites y ON y.host = b WHERE x.site = y.site""")
+def same_site_rules(spark, sf):
+    return P.same_site(P.page_links(pages_table(spark, sf)), rules=SuffixRules(RULES)).select("page_id", "position", "dst")
+
+
 # A link graph with depth: host roots link to their pages, pages to their anchors and to the page
 # with the next number.
 GRAPH = f"""WITH RECURSIVE {HREFS}, {resolved_ctes('links0', 'links')}, {normal_ctes('pages', 'np', 'url', 'norm')},
@@ -188,6 +208,17 @@ def link_reach(spark, sf):
     return C.reach(edges, seeds, K.MAX_LINK_DEPTH)
 
 
+@query("link_reach_rules", f"""{GRAPH},
+{ruled_ctes(f"SELECT {_HOST_OF.format('dst')} AS host FROM edges UNION SELECT {_HOST_OF.format('seed')} FROM seeds")},
+sited AS MATERIALIZED (SELECT src, dst, site FROM edges JOIN sites ON sites.host = {_HOST_OF.format('dst')}),
+walk AS (SELECT seed, seed AS url, 0 AS depth, site AS own FROM seeds JOIN sites ON sites.host = {_HOST_OF.format('seed')}
+  UNION SELECT w.seed, e.dst, w.depth + 1, w.own FROM walk w JOIN sited e ON e.src = w.url AND e.site = w.own WHERE w.depth < {K.MAX_LINK_DEPTH})
+SELECT seed, url, min(depth) AS depth FROM walk GROUP BY seed, url""")
+def link_reach_rules(spark, sf):
+    edges, seeds = graph(spark, sf)
+    return C.reach(edges, seeds, K.MAX_LINK_DEPTH, rules=SuffixRules(RULES))
+
+
 # --- sitemaps -----------------------------------------------------------------------------
 
 # Every page becomes a sitemap document: an index of the next ones when its number ends in 0 or 5,
@@ -296,6 +327,21 @@ def ct_subdomains(spark, sf):
     return P.certificate_names(sited.select("root", entry.alias("entries")))
 
 
+@query("ct_names_rules", f"""WITH n AS MATERIALIZED (SELECT h, unnest([h, 'www' || page_id || '.' || h]) AS name
+  FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS h FROM pages)),
+{ruled_ctes('SELECT h AS host FROM n UNION SELECT name FROM n')}
+SELECT DISTINCT x.site AS root, name FROM n JOIN sites x ON x.host = h JOIN sites y ON y.host = name WHERE x.site = y.site AND name <> x.site""")
+def ct_names_rules(spark, sf):
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    rules = SuffixRules(RULES)
+    pages = table(spark, sf, "pages").select("page_id", host.alias("h"))
+    entry = F.concat(
+        F.lit('[{"name_value": "*.'), "h", F.lit("\\n"), F.upper("h"), F.lit("\\nwww"), F.col("page_id").cast("string"), F.lit("."), "h",
+        F.lit('"}, {"name_value": "bad_name.'), "h", F.lit('\\nother.test"}, {"name_value": null}]'))
+    sited = U.with_site_of_host(pages, F.col("h"), "root", rules)
+    return P.certificate_names(sited.select("root", entry.alias("entries")), rules=rules)
+
+
 AGENT = "ResearchBot/0.1"
 _ROBOTS = ("'User-agent: *' || chr(10) || 'Disallow: /en/' || substr(h, length(h), 1) || chr(10) || 'Allow: /' || chr(10) || chr(10) "
            "|| CASE WHEN length(h) % 2 = 0 THEN 'User-Agent: other' || chr(10) || 'user-agent: researchbot # us' || chr(10) || 'Allow: /en/1' || chr(10) || 'Disallow: /en' || chr(10) || 'Disallow: /d' ELSE 'Disallow:' END")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from urlsieve import constants as K
-from urlsieve.functions import risk, text as T, urls as U
+from urlsieve.functions import risk, suffixes, text as T, urls as U
 from urlsieve.operators import features as FE
 from urlsieve.operators import lookups
 from urlsieve.plans import sqlkit as Q
@@ -79,6 +79,50 @@ def psl_parts(spark, sf):
     )
 
 
+# Rules with three labels, a wildcard and its exception; .tk, .unlisted and others have no rule.
+RULES = ("com", "net", "org", "vn", "com.vn", "uk", "co.uk", "io", "github.io", "ththed.example.org", "*.example.net", "!ththan.example.net",
+         "*.b.c", "xyz")
+
+
+def rule_suffix_ctes(hosts: str) -> str:
+    """CTEs ``ruled(host, suffix)`` for the distinct hosts of a query."""
+    kinds = [("wild", r[2:]) if r.startswith("*.") else ("except", r[1:]) if r.startswith("!") else ("plain", r) for r in RULES]
+    values = ", ".join(f"('{kind}', '{name}', {name.count('.') + 1})" for kind, name in kinds)
+    return f"""rule(kind, tail, n) AS (VALUES {values}),
+rh AS (SELECT DISTINCT host FROM ({hosts}) WHERE host <> ''),
+hit AS (SELECT host, arg_max(n + CASE kind WHEN 'wild' THEN 1 WHEN 'except' THEN -1 ELSE 0 END,
+               CASE kind WHEN 'except' THEN 1000 WHEN 'wild' THEN n + 1 ELSE n END) AS labels
+        FROM rh JOIN rule ON (host = tail AND kind <> 'wild') OR ends_with(host, '.' || tail) GROUP BY host),
+ruled AS MATERIALIZED (SELECT host, array_to_string(string_split(host, '.')[-coalesce(labels, 1):], '.') AS suffix FROM rh LEFT JOIN hit USING (host))"""
+
+
+def _rule_parts_sql() -> str:
+    base = tabular_ctes()
+    start = base.index("t_sfx AS (")
+    head, parts = base[:start], base[base.index("t_front AS ("):]
+    return f"""{head}{rule_suffix_ctes('SELECT lookup AS host FROM t_host')},
+t_sfx AS (SELECT t_host.*, CASE WHEN {Q.is_ip('lookup')} OR lookup = '' THEN '' ELSE r.suffix END AS suffix
+          FROM t_host LEFT JOIN ruled r ON r.host = lookup),
+{parts}"""
+
+
+@query("psl_rules", f"""{_rule_parts_sql()}
+SELECT page_id, variant, suffix, domain, subdomain FROM t""")
+def psl_rules(spark, sf):
+    return _rule_parts(spark, sf, suffixes.SuffixRules(RULES))
+
+
+@query("psl_rule_table", f"""{_rule_parts_sql()}
+SELECT page_id, variant, suffix, domain, subdomain FROM t""")
+def psl_rule_table(spark, sf):
+    return _rule_parts(spark, sf, suffixes.SuffixTable(inline_table(spark, ["rule"], [(r,) for r in RULES])))
+
+
+def _rule_parts(spark, sf, rules):
+    return FE.tabular_parts(urls(spark, sf), rules=rules).select(
+        *KEYS, *(F.col(f"t_{c}").alias(c) for c in ("suffix", "domain", "subdomain")))
+
+
 _SUFFIX_TABLE = ", ".join(f"({Q.lit(s)})" for s in K.ALL_SUFFIXES)
 
 
