@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHED_BYTES, CACHED, CACHED_PAIRS = 48, 250_000, 500_000
+CACHED_CHARS, CACHED, CACHED_PAIRS = 40, 300_000, 500_000
 SLICE = 512  # rows a worker encodes at a time: ids take more room than text
 #: A match of the public split pattern is settled by the characters up to two behind its end, and by three from its start.
 LOOK_BEHIND_START, LOOK_BEHIND_END = 3, 2
@@ -38,14 +38,18 @@ class PrefixBpe:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, f)))}
-        self.bytes_of = {i: t for t, i in self.ranks.items()}
+        self.bytes_of = [b""] * (1 + max(self.ranks.values()))
+        for piece, i in self.ranks.items():
+            self.bytes_of[i] = piece
         self.longest = max(map(len, self.ranks))
         #: token of every token's ends, -1 for ends that are no tokens
         self.tails = {t[i:]: -1 for t in self.ranks for i in range(len(t))} | self.ranks
         self.split = regex.compile(pattern)
         self.halves: dict[int, tuple[int, int]] = {}
         self.pairs: dict[int, bool] = {}
+        #: matches met lately and before; the older half goes when the newer one is full
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, data: bytes, below: float = float("inf")) -> list[bytes]:
         """Merging by definition, by ranks under ``below``: least rank first, leftmost on ties."""
@@ -89,34 +93,38 @@ class PrefixBpe:
             else:
                 return True
 
-    def last_token(self, data: bytes, last: list[int], end: int) -> int:
-        """The last token of the prefix ``data[:end]``, given those of all shorter prefixes."""
-        tails, pairs, start = self.tails.get, self.pairs, end - 1
-        while start >= 0:
-            token = tails(data[start:end])
-            if token is None:
-                break
-            if token >= 0:
-                if not start:
-                    return token
-                pair = last[start - 1] << 32 | token
-                fit = pairs.get(pair)
-                if fit is None:
-                    if len(pairs) >= CACHED_PAIRS:
-                        pairs.clear()
-                    fit = pairs[pair] = self.fits(last[start - 1], token)
-                if fit:
-                    return token
-            start -= 1
-        raise ValueError("the rank table lacks a byte")
-
     def table(self, data: bytes, last: list[int] | None = None) -> list[int]:
         """Last tokens of all prefixes; ``last`` may give those of the first ones."""
         last = list(last or ())
-        for end in range(len(last) + 1, len(data) + 1):
-            last.append(self.last_token(data, last, end))
+        self.grow(data, last, len(data))
         return last
 
+    def grow(self, data: bytes, last: list[int], upto: int) -> None:
+        """Append the last tokens of longer prefixes, to that of ``upto`` bytes.
+
+        Of the tokens that end where a prefix ends, its last one is the one that fits the prefix before it.
+        """
+        tails, pairs = self.tails.get, self.pairs
+        for end in range(len(last) + 1, upto + 1):
+            start = end - 1
+            while True:
+                token = tails(data[start:end])
+                if token is None:
+                    raise ValueError("the rank table lacks a byte")
+                if token >= 0:
+                    if not start:
+                        break
+                    pair = last[start - 1] << 32 | token
+                    fit = pairs.get(pair)
+                    if fit is None:
+                        if len(pairs) >= CACHED_PAIRS:
+                            pairs.clear()
+                        fit = pairs[pair] = self.fits(last[start - 1], token)
+                    if fit:
+                        break
+                start -= 1
+            last.append(token)
+
     def ids(self, data: bytes, last: list[int]) -> list[int]:
         """The encoding of a match. A match that is a token stands for itself, as the library has it."""
         whole = self.ranks.get(data)
@@ -134,17 +142,20 @@ class PrefixBpe:
         for piece in self.split.findall(text or ""):
             ids = known.get(piece)
             if ids is None:
-                data = piece.encode("utf-8", "replace")
-                ids = tuple(self.ids(data, [] if data in self.ranks else self.table(data)))
-                if len(data) <= CACHED_BYTES:
+                ids = self.older.get(piece)
+                if ids is None:
+                    data = piece.encode("utf-8", "replace")
+                    ids = tuple(self.ids(data, [] if data in self.ranks else self.table(data)))
+                if len(piece) <= CACHED_CHARS:
                     if len(known) >= CACHED:
-                        known.clear()
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[piece] = ids
             add(ids)
         return out
 
     def decode(self, ids: list[int] | None) -> bytes:
-        """Bytes of the ids. Unknown ids are an error, nulls and empty lists give no bytes."""
+        """Bytes of the ids. Ids beyond the table are an error, nulls and empty lists give no bytes."""
         of = self.bytes_of
         return b"".join([of[i] for i in ids or ()])
 
@@ -168,7 +179,7 @@ class PrefixTable:
         self.data = self.data[:at] + new + self.data[at + gone:]
         last, same = old[:at], 0
         for end in range(at + 1, len(self.data) + 1):
-            last.append(self.bpe.last_token(self.data, last, end))
+            self.bpe.grow(self.data, last, end)
             self.work += 1
             was = end - shift  # the old prefix that ended at the same byte
             same = same + 1 if end > at + len(new) and was >= 1 and old[was - 1] == last[-1] else 0
