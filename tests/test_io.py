@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from urlsieve.operators import profile as P, scanlog as L
 from urlsieve.sources import feeds, readers, writers
 from urlsieve.streaming import jobs
+from urlsieve.streaming.state import StateTable, UrlHistory
 
 
 def urls_of(df):
@@ -150,3 +151,71 @@ def test_bounded_stream_dedupe(spark, tmp_path):
     jobs.write_batches(jobs.distinct_within(stream, "ts", "1 hour"), str(tmp_path / "out"), str(tmp_path / "state"),
                        lambda batch, _: batch).awaitTermination()
     assert urls_of(spark.read.parquet(str(tmp_path / "out"))) == [f"u{i}" for i in range(7)]
+
+
+def test_state_table_compacts_and_survives_replays(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "t"), ("k",), every=2)
+    assert table.read() is None
+    made = lambda rows: spark.createDataFrame(rows, "k string, n long")
+    state = lambda t: {r["k"]: r["n"] for r in t.read().collect()}
+    table.write(made([("a", 1), ("b", 1)]), 0)
+    table.write(made([("a", 2)]), 1)
+    table.write(made([("c", 1)]), 2)  # folds 0 and 1 first
+    assert table.sources()[1] == [2] and table.manifest()["upto"] == 1
+    assert state(table) == {"a": 2, "b": 1, "c": 1}
+    table.write(made([("c", 5)]), 2)  # the replay replaces its own delta
+    table.compact(2)  # nothing new to fold, and no second manifest
+    assert table.sources()[1] == [2] and state(table) == {"a": 2, "b": 1, "c": 5}
+    spark.range(1).write.parquet(str(tmp_path / "t" / "_snapshots" / "left-by-a-failed-run"))
+    table.vacuum()
+    assert table.batches() == [2] and len(table.folder.names("_snapshots")) == 1 and state(table) == {"a": 2, "b": 1, "c": 5}
+    table.write(made([("a", 3)]), 3)
+    table.write(made([("b", 9)]), 4)  # folds the snapshot with 2 and 3
+    assert table.manifest()["upto"] == 3 and state(table) == {"a": 3, "b": 9, "c": 5}
+    assert {r["k"]: r["n"] for r in table.read(before=3).collect()} == {"a": 2, "b": 1, "c": 5}
+
+
+def test_profile_stream_with_compaction_between_batches(spark, tmp_path):
+    rows = spark.range(400).select((F.col("id") % 3).cast("string").alias("g"), F.col("id").alias("v"))
+    rows.repartition(8).write.parquet(str(tmp_path / "in"))
+    stream = jobs.read_stream(spark, str(tmp_path / "in"), rows.schema, files_per_batch=1)
+    jobs.running_profile(stream, str(tmp_path / "out"), str(tmp_path / "state"), ("g",), {"s": F.col("v")}, every=2).awaitTermination()
+    assert StateTable(spark, str(tmp_path / "out"), ("g",)).manifest() is not None
+    got = {r["g"]: (r["n"], r["s"]) for r in jobs.latest(spark, str(tmp_path / "out"), ("g",)).collect()}
+    assert got == {str(g): (len(range(g, 400, 3)), sum(range(g, 400, 3))) for g in range(3)}
+
+
+def test_history_opens_only_buckets_that_may_hold_a_url(spark, tmp_path):
+    made = lambda urls: spark.createDataFrame([(u,) for u in urls], "url string")
+    names = lambda df: sorted(r["url"] for r in df.collect()) if df is not None else []
+    history = UrlHistory(spark, str(tmp_path / "h"), buckets=64, words=256)
+    assert history.known(made(["a"]), 0) is None and history.opened == []
+    history.seed(made(["s1", "s2", "s2", None]))
+    history.seed(made(["never"]))  # done already
+    history.add(made([f"u{i}" for i in range(100)]), 0)
+    history.add(made(["v"]), 1)
+    assert names(history.known(made(["u7", "s1", "new"]), 2)) == ["s1", "u7"]
+    buckets = {r["b"] for r in made(["u7", "s1"]).select(history.bucket(F.col("url")).alias("b")).collect()}
+    assert {int(p.rsplit("=", 1)[1]) for p in history.opened} <= buckets and history.opened
+    assert history.known(made([f"x{i}" for i in range(3)]), 2) is None or len(history.opened) < 6
+    assert names(history.known(made(["v", "u1"]), 1)) == ["u1"]  # a replay of batch 1 does not meet itself
+    history.add(made(["w"]), 1)
+    assert names(history.known(made(["v", "w"]), 2)) == ["w"]
+
+
+def test_ingest_replays_a_batch_after_a_crash(spark, tmp_path):
+    """A batch that was stored but not committed runs again and gives the same rows."""
+    (tmp_path / "inbox").mkdir()
+    (tmp_path / "inbox" / "1.txt").write_text("http://a/\nhttp://b/\n")
+
+    def run():
+        lines = jobs.read_stream(spark, str(tmp_path / "inbox"), "value string", "text", files_per_batch=1)
+        stored = spark.createDataFrame([("http://b/",)], "url string")
+        jobs.ingest_feed(lines, feeds.txt_lines, "feed", str(tmp_path / "out"), str(tmp_path / "state"), stored).awaitTermination()
+        return urls_of(spark.read.parquet(str(tmp_path / "out")))
+
+    assert run() == ["http://a/"]
+    for f in (tmp_path / "state" / "commits").glob("*0*"):
+        f.unlink()
+    (tmp_path / "inbox" / "2.txt").write_text("http://a/\nhttp://c/\n")
+    assert run() == ["http://a/", "http://c/"]

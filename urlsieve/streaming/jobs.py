@@ -1,7 +1,8 @@
 """Structured Streaming jobs.
 
 Each job is exactly-once by construction: offsets live in the checkpoint, and every micro-batch
-writes its own ``batch_id`` partition with overwrite, so a replayed batch replaces itself.
+writes its own ``batch_id`` partition with overwrite, so a replayed batch replaces itself. Tables that
+batches update are kept small by compaction (``state``).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql.types import StructType
 from urlsieve.functions import urls as U
 from urlsieve.operators import models as MD
 from urlsieve.operators.scanlog import validate_requests
-from urlsieve.sources.writers import read_table_or_none
+from urlsieve.streaming.state import StateTable, UrlHistory
 
 
 def read_stream(
@@ -31,6 +32,16 @@ def read_stream(
     return reader.load(path)
 
 
+def start_batches(
+    stream: DataFrame, checkpoint: str, store: Callable[[DataFrame, int], None], mode: str = "append", available_now: bool = True,
+) -> StreamingQuery:
+    """Run ``store`` on each micro-batch; it must write so that a replay of the batch replaces it."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(store)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def write_batches(
     stream: DataFrame, out: str, checkpoint: str, make: Callable[[DataFrame, int], DataFrame],
     mode: str = "append", available_now: bool = True,
@@ -40,35 +51,40 @@ def write_batches(
     def write(batch: DataFrame, batch_id: int) -> None:
         make(batch, batch_id).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
+    return start_batches(stream, checkpoint, write, mode, available_now)
+
+
+def write_state(stream: DataFrame, table: StateTable, checkpoint: str) -> StreamingQuery:
+    """Store what each micro-batch changed as a delta of a state table."""
+    return start_batches(stream, checkpoint, table.write, mode="update")
 
 
 def ingest_feed(
     lines: DataFrame, parser: Callable[[DataFrame], DataFrame], source: str, out: str, checkpoint: str,
-    stored: DataFrame | None = None, fetched_at: Column | None = None,
+    stored: DataFrame | None = None, fetched_at: Column | None = None, history: UrlHistory | None = None,
 ) -> StreamingQuery:
     """Parse arriving feed lines and store the URLs that neither earlier batches nor ``stored`` have.
 
-    History is an anti-join against the table, not streaming state, so it may grow without limit.
+    History is a table by hash bucket with filters (``state.UrlHistory``), not streaming state: it may
+    grow without limit, and a batch opens only the buckets that may hold one of its URLs. ``stored`` is
+    taken in once, when the table is new.
     """
     when = F.current_timestamp() if fetched_at is None else fetched_at
+    history = history or UrlHistory(lines.sparkSession, out)
+    if stored is not None:
+        history.seed(stored)
 
-    def fresh(batch: DataFrame, batch_id: int) -> DataFrame:
+    def store(batch: DataFrame, batch_id: int) -> None:
         # partial aggregation collapses copies before the shuffle
-        urls = parser(batch).groupBy("url").agg(F.count("*").alias("copies"))
-        seen = read_table_or_none(batch.sparkSession, out)
-        if seen is not None:
-            urls = urls.join(seen.where(F.col("batch_id") < batch_id).select("url"), "url", "left_anti")
-        if stored is not None:
-            urls = urls.join(stored.select("url").distinct(), "url", "left_anti")
-        return urls.select(
+        urls = parser(batch).groupBy("url").agg(F.count("*").alias("copies")).persist()
+        known = history.known(urls.select("url"), batch_id)
+        fresh = urls if known is None else urls.join(known, "url", "left_anti")
+        history.add(fresh.select(
             "url", F.lit(source).alias("source"), when.alias("fetched_at"),
-            U.is_vn_target(F.col("url")).cast("int").alias("is_vn_target"), "copies")
+            U.is_vn_target(F.col("url")).cast("int").alias("is_vn_target"), "copies"), batch_id)
+        urls.unpersist()
 
-    return write_batches(lines, out, checkpoint, fresh)
+    return start_batches(lines, checkpoint, store)
 
 
 def distinct_within(urls: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -101,28 +117,27 @@ def score_requests(
     return write_batches(requests, out, checkpoint, scored)
 
 
-def running_profile(stream: DataFrame, out: str, checkpoint: str, groups: tuple[str, ...], sums: dict[str, Column]) -> StreamingQuery:
+def running_profile(
+    stream: DataFrame, out: str, checkpoint: str, groups: tuple[str, ...], sums: dict[str, Column], every: int = 20,
+) -> StreamingQuery:
     """Counts and sums per group over everything seen so far; each batch stores what changed."""
     totals = stream.groupBy(*groups).agg(
         F.count("*").alias("n"), *(F.sum(c).alias(name) for name, c in sums.items()))
-    return write_batches(totals, out, checkpoint, lambda batch, _: batch, mode="update")
+    return write_state(totals, StateTable(stream.sparkSession, out, groups, every=every), checkpoint)
 
 
 def windowed_requests(
     stream: DataFrame, out: str, checkpoint: str, client: str = "client", ts: str = "ts",
-    window: str = "1 minute", delay: str = "10 minutes",
+    window: str = "1 minute", delay: str = "10 minutes", every: int = 20,
 ) -> StreamingQuery:
     """Requests per client and tumbling window, kept up to date until the watermark passes."""
     counts = stream.withWatermark(ts, delay).groupBy(
         F.window(ts, window).alias("w"), F.col(client).alias("client")
     ).agg(F.count("*").alias("requests"))
     flat = counts.select("client", F.col("w.start").alias("window_start"), "requests")
-    return write_batches(flat, out, checkpoint, lambda batch, _: batch, mode="update")
+    return write_state(flat, StateTable(stream.sparkSession, out, ("client", "window_start"), every=every), checkpoint)
 
 
 def latest(spark: SparkSession, out: str, groups: tuple[str, ...]) -> DataFrame:
-    """Current state of an updating table: per group, the row of the newest batch."""
-    rows = spark.read.parquet(out)
-    values = [c for c in rows.columns if c not in (*groups, "batch_id")]
-    newest = rows.groupBy(*groups).agg(F.max(F.struct("batch_id", *values)).alias("s"))
-    return newest.select(*groups, *(F.col(f"s.{v}").alias(v) for v in values))
+    """Current rows of an updating table: its snapshot and what came after."""
+    return StateTable(spark, out, groups).read()
