@@ -211,13 +211,23 @@ def test_polite_schedule(spark):
     rng = random.Random(2)
     rows = [(i, "hot" if i % 3 else f"h{i % 9}", float(rng.randint(0, 200))) for i in range(400)]
     got = {r["id"]: r["start"] for r in C.polite_schedule(
-        spark.createDataFrame(rows, "id int, host string, arrival double"), "id", gap=2.0, bucket_seconds=50).collect()}
+        spark.createDataFrame(rows, "id int, host string, arrival double"), "id", gap=2.0, chunks=7).collect()}
     last = {}
     for i, host, arrival in sorted(rows, key=lambda r: (r[2], r[0])):
         last[host] = max(arrival, last.get(host, -1e9) + 2.0)
         assert math.isclose(got[i], last[host])
 
 
+def test_polite_schedule_of_one_host_and_one_second(spark):
+    """All rows on one host at one moment are still dealt over all chunks."""
+    rows = spark.range(2000).select("id", F.lit("h").alias("host"), F.lit(5.0).alias("arrival"))
+    plan = C.polite_schedule(rows, "id", gap=0.5, chunks=8)
+    assert {r["id"]: r["start"] for r in plan.collect()} == {i: 5.0 + 0.5 * i for i in range(2000)}
+    sizes = [r["count"] for r in rows.repartitionByRange(8, "host", "arrival", "id").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 2000 / 8
+    assert C.polite_schedule(rows.limit(0), "id").count() == 0
+
+
 def test_robots_first_rule_wins(spark):
     body = "# c\nUser-agent: *\nDisallow: /\n\nUser-agent: A\nuser-agent: ResearchBot\nAllow: /p/ok\nDisallow: /p\n"
     rules = P.robots_rules(spark.createDataFrame([("h", body), ("o", "User-agent: *\nDisallow:\n")], "host string, body string"))

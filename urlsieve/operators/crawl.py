@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlsieve import constants as K
 from urlsieve.functions.urls import Rules, with_site
 from urlsieve.operators.lookups import hot_keys
 from urlsieve.operators.pages import cap_per_group
-from urlsieve.operators.ranks import running
 from urlsieve.session import cut_lineage
 
 SALTS = 64
@@ -70,22 +69,36 @@ def reach(
 
 def polite_schedule(
     requests: DataFrame, key: str, host: str = "host", arrival: str = "arrival",
-    gap: float = K.REQUEST_GAP_SECONDS, bucket_seconds: int = 3600,
+    gap: float = K.REQUEST_GAP_SECONDS, chunks: int | None = None,
 ) -> DataFrame:
     """Add ``start``: when each request may run so that a host sees them at least ``gap`` apart.
 
     A request starts when it arrives or one gap after the previous start, whichever is later.
-    Unrolled, start_k = gap k + max over j <= k of (arrival_j - gap j): a running count and a
-    running maximum, both taken bucket-wise, so a host with very many requests is many tasks.
+    Unrolled, start_k = gap k + max over j <= k of (arrival_j - gap j), a scan in max-plus algebra. Rows
+    are dealt in order into chunks of about equal size, whatever a host or a second holds; what a chunk
+    does to the rows behind it is a pair (rows, max of arrival - gap x rank), pairs combine
+    associatively, and rows are finished inside their chunk from the pair of all chunks before it.
     """
-    order = [F.col(arrival), F.col(key)]
-    bucket = F.floor(F.col(arrival) / bucket_seconds)
-    counted = running(requests, order, bucket, [host], sums={"_k": F.lit(1)})
-    lag = F.col(arrival) - F.col("_k") * gap
-    peaked = running(counted, order, bucket, [host], maxima={"_peak": lag})
-    start = F.col("_peak") + F.col("_k") * gap
-    return peaked.select(*requests.columns, start.alias("start"),
-                         (start - F.col(arrival)).alias("wait"))
+    by = [host, arrival, key]
+    dealt = requests.repartitionByRange(*by) if chunks is None else requests.repartitionByRange(chunks, *by)
+    # the place in its partition is the row's identifier; stored, so that both passes see the same chunks
+    rows = cut_lineage(dealt.sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()))
+    chunk, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    late = F.col(arrival) - place * F.lit(gap)
+    pairs = rows.groupBy(F.col(host).alias("_host"), chunk.alias("_chunk")).agg(
+        F.min(place).alias("_first"), F.count("*").alias("_n"), F.max(late).alias("_late"))
+    before = Window.partitionBy("_host").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # a host has at most one pair per chunk
+    counted = pairs.withColumn("_rows", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    shift = (F.col("_first") - F.col("_rows")) * F.lit(gap)  # from places in the chunk to ranks of the host
+    scanned = counted.select(
+        "_host", "_chunk", (F.col("_rows") - F.col("_first") + 1).alias("_from"),
+        F.max(F.col("_late") + shift - gap).over(before).alias("_peak"))
+    met = rows.join(scanned, F.col(host).eqNullSafe(F.col("_host")) & (chunk == F.col("_chunk")))
+    rank = (F.col("_id").bitwiseAND((1 << 33) - 1) + F.col("_from")) * F.lit(gap)
+    inside = Window.partitionBy(host, "_chunk").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.greatest(F.max(F.col(arrival) - rank).over(inside), F.col("_peak")) + rank
+    return met.select(*requests.columns, start.alias("start")).withColumn("wait", F.col("start") - F.col(arrival))
 
 
 def seed_summary(rows: DataFrame) -> DataFrame:

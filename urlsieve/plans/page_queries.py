@@ -377,4 +377,4 @@ s AS (SELECT *, k * 1200.0::DOUBLE + max(arrival - k * 1200.0::DOUBLE) OVER (PAR
 SELECT event_id, user_id, arrival, start, start - arrival AS wait FROM s""")
 def polite_schedule(spark, sf):
     requests = table(spark, sf, "events").select("event_id", "user_id", F.date_trunc("hour", "ts").cast("double").alias("arrival"))
-    return C.polite_schedule(requests, "event_id", "user_id", gap=1200.0, bucket_seconds=86400)
+    return C.polite_schedule(requests, "event_id", "user_id", gap=1200.0)
