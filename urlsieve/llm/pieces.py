@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three machines are compiled from a model file: the normaliser (a leading mark, blanks to marks), the
-pieces (an arc per vocabulary piece), and byte fallback (a character outside the vocabulary becomes the
-arcs of its UTF-8 bytes). Composed with an input they give a lattice over its characters.
+Three machines are compiled from a model file: the normaliser (by the model's own rules: a leading mark,
+blanks to marks, runs of blanks to one), the pieces (a prefix automaton, whose final states emit a piece)
+and byte fallback (a character outside the vocabulary becomes the arcs of its UTF-8 bytes). Composed with
+an input they give a lattice over its characters; only arcs that the automaton still follows exist.
 
 The model is of the merging kind: its encoding is not the path with the best sum of piece scores. It is
 the one path on which every two neighbouring pieces are what merging makes of their joined text. So the
@@ -15,18 +16,67 @@ marks are encoded on their own, and short ones are kept in a bounded dictionary
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHED_CHARS, CACHED = 40, 300_000
-STRETCH = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+CACHED_CHARS, CACHED, CACHED_PAIRS = 40, 300_000, 500_000
+OTHER = 1 << 21  # number of the fallback arc of a character: this plus its code point; other arcs have their piece's id
+STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+FINAL = ""  # key of an automaton state under which the id of its piece stands; no character is empty
+
+
+def message(data: bytes) -> dict[int, list]:
+    """Fields of a serialised protocol-buffer message: numbers, or bytes of nested messages and strings."""
+    fields: dict[int, list] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = number()
+        if tag & 7 == 0:
+            value: int | bytes = number()
+        else:
+            size = {1: 8, 5: 4}.get(tag & 7)
+            size = number() if size is None else size
+            value = data[at: at + size]
+            at += size
+        fields.setdefault(tag >> 3, []).append(value)
+    return fields
+
+
+class Normaliser:
+    """The model's normalisation; a model with a character map of its own is refused."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            rules = message(message(f.read()).get(3, [b""])[-1])
+        if rules.get(2, [b""])[-1]:
+            raise ValueError("models with a character map are not supported")
+        self.lead, self.squeeze, self.escape = (bool(rules.get(i, [1])[-1]) for i in (3, 4, 5))
+
+    def __call__(self, text: str) -> str:
+        if self.squeeze:
+            text = re.sub(" +", " ", text.strip(" "))
+        if not text:
+            return ""
+        return (" " * self.lead + text).replace(" ", MARK if self.escape else " ")
 
 
 class PieceTransducer:
@@ -34,109 +84,144 @@ class PieceTransducer:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.text: list[str | None] = []  # of plain pieces
+        self.normalise = Normaliser(path)
+        self.spelled: list[bytes] = []  # what an id decodes to, marks as blanks
         self.bytes = [0] * 256
-        self.arcs: dict[str, tuple[int, float]] = {}
         self.byte_of: dict[int, int] = {}
+        self.ids: dict[str, int] = {}
+        self.score: dict[str, float] = {}
+        self.root: dict = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             plain = not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
-            self.text.append(piece if plain else None)
+            self.spelled.append(piece.replace(MARK, " ").encode() if plain else b"")
             if plain:
-                self.arcs[piece] = (i, model.get_score(i))
+                self.ids[piece], self.score[piece] = i, model.get_score(i)
+                state = self.root
+                for c in piece:
+                    state = state.setdefault(c, {})
+                state[FINAL] = i
             elif model.is_byte(i):
-                self.bytes[int(piece[3:5], 16)] = i
-                self.byte_of[i] = int(piece[3:5], 16)
-        self.longest = max(map(len, self.arcs))
-        self.splits = not any(MARK in p.lstrip(MARK) for p in self.arcs)
-        #: neighbours inside some piece; between all others a path must have a border
-        self.joined = {p[i: i + 2] for p in self.arcs for i in range(len(p) - 1)}
-        self.pairs: dict[tuple[str, str], bool] = {}
+                byte = int(piece[3:5], 16)
+                self.bytes[byte], self.byte_of[i], self.spelled[i] = i, byte, bytes((byte,))
+        self.splits = not any(MARK in p.lstrip(MARK) for p in self.ids)
+        self.halves: dict[str, tuple[str, str]] = {}
+        self.pairs: dict[int, bool] = {}
+        #: stretches met lately and before; the older half goes when the newer one is full
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.texts = {i: p for p, i in self.ids.items()}
 
-    def normalise(self, text: str) -> str:
-        return MARK + text.replace(" ", MARK) if text else ""
-
-    def merged(self, text: str) -> list[str]:
-        """Merging by definition: the best-scored neighbours first, leftmost on ties."""
+    def merged(self, text: str, above: float = -np.inf) -> list[str]:
+        """Merging by definition, by scores over ``above``: the best-scored neighbours first, leftmost on ties."""
         parts = list(text)
         while len(parts) > 1:
-            scores = [self.arcs.get(a + b, (0, -np.inf))[1] for a, b in zip(parts, parts[1:])]
+            scores = [self.score.get(a + b, above) for a, b in zip(parts, parts[1:])]
             best = max(scores)
-            if best == -np.inf:
+            if best <= above:
                 break
             i = scores.index(best)
             parts[i: i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def parts(self, piece: str) -> tuple[str, str] | None:
+        """The two parts whose merge makes a piece; None where merging does not make it."""
+        if piece not in self.halves:
+            made = self.merged(piece, self.score[piece])
+            self.halves[piece] = tuple(made) if len(made) == 2 else None
+        return self.halves[piece]
+
     def fits(self, a: str, b: str) -> bool:
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) >= CACHED:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return got
-
-    def shortest(self, text: str) -> list[str]:
-        """Tropical shortest path through the lattice of a stretch."""
-        n = len(text)
-        cost, last = [0] + [0] * n, [""] * (n + 1)
-        for end in range(1, n + 1):
-            best = None
-            for start in range(max(0, end - self.longest), end):
-                piece = text[start:end]
-                if end - start > 1 and piece not in self.arcs:
-                    continue
-                c = cost[start] + (0 if not start or self.fits(last[start], piece) else 1)
-                if best is None or c < best:
-                    best, last[end] = c, piece
-                    if not c:
-                        break
-            cost[end] = best
+        """Whether merging the joined text gives both pieces back.
+
+        Undone from its end, merging shows at the border ever smaller parts of both; the pair is torn apart
+        where two touching parts have a merge that comes before those that used them up. Leftmost on ties.
+        """
+        score, a_used, b_used = self.score, -np.inf, -np.inf
+        first = (a, b)
+        while True:
+            joint = score.get(a + b)
+            if joint is not None and joint > a_used and joint >= b_used:
+                return False
+            x, y = (score[p] if len(p) > 1 else None for p in (a, b))
+            if x is None and y is None:
+                return True
+            left = y is None or (x is not None and x < y)  # the later merge is undone first
+            made = self.parts(a if left else b)
+            if made is None:
+                return self.merged("".join(first)) == list(first)
+            if left:
+                a_used, a = x, made[1]
+            else:
+                b_used, b = y, made[0]
+
+    def arc(self, number: int) -> str:
+        return self.texts[number] if number < OTHER else chr(number - OTHER)
+
+    def shortest(self, text: str) -> list[int]:
+        """Tropical shortest path through the lattice of a stretch, as arcs."""
+        n, root, pairs = len(text), self.root, self.pairs
+        cost: list[int | None] = [None] * (n + 1)
+        last = [0] * (n + 1)
+        cost[0] = 0
+        for start in range(n):
+            before, here = last[start], cost[start]
+            state, end, c = root, start, text[start]
+            while True:
+                state = state.get(c)
+                end += 1
+                piece = state.get(FINAL) if state is not None else None
+                if piece is None and end == start + 1:
+                    piece = OTHER + ord(c)  # byte fallback
+                if piece is not None and cost[end] != 0:
+                    if start:
+                        pair = before << 32 | piece
+                        fit = pairs.get(pair)
+                        if fit is None:
+                            if len(pairs) >= CACHED_PAIRS:
+                                pairs.clear()
+                            fit = pairs[pair] = self.fits(self.arc(before), self.arc(piece))
+                        weight = here if fit else here + 1
+                    else:
+                        weight = here
+                    if cost[end] is None or weight < cost[end]:
+                        cost[end], last[end] = weight, piece
+                if state is None or end == n:
+                    break
+                c = text[end]
         out, end = [], n
         while end:
             out.append(last[end])
-            end -= len(last[end])
+            end -= 1 if last[end] >= OTHER else len(self.texts[last[end]])
         return out[::-1]
 
-    def emit(self, piece: str) -> tuple[int, ...]:
-        arc = self.arcs.get(piece)
-        return (arc[0],) if arc else tuple(self.bytes[b] for b in piece.encode("utf-8", "replace"))
+    def emit(self, arcs: list[int]) -> tuple[int, ...]:
+        """Ids of a path: a piece's own, or those of a character's bytes."""
+        if max(arcs) < OTHER:
+            return tuple(arcs)
+        return tuple(i for a in arcs for i in ((a,) if a < OTHER else (self.bytes[b] for b in chr(a - OTHER).encode("utf-8", "replace"))))
 
     def encode(self, text: str | None) -> list[int]:
         body = self.normalise(text or "")
         out: list[int] = []
-        known = self.known
+        known, add = self.known, out.extend
         for stretch in STRETCH.findall(body) if self.splits else [body] * bool(body):
             ids = known.get(stretch)
             if ids is None:
-                borders = [i for i in range(1, len(stretch)) if stretch[i - 1: i + 1] not in self.joined]
-                if borders:  # parts are met more often than whole stretches
-                    cut = zip([0, *borders], [*borders, len(stretch)], strict=True)
-                    ids = tuple(i for a, b in cut for i in self._part(stretch[a:b]))
-                    if len(known) < CACHED // 2 and len(stretch) <= CACHED_CHARS:
-                        known[stretch] = ids
-                else:
-                    ids = self._part(stretch)
-            out += ids
+                ids = self.older.get(stretch) or self.emit(self.shortest(stretch))
+                if len(stretch) <= CACHED_CHARS:
+                    if len(known) >= CACHED:
+                        self.older, self.known = known, {}
+                        known = self.known
+                    known[stretch] = ids
+            add(ids)
         return out
 
-    def _part(self, part: str) -> tuple[int, ...]:
-        ids = self.known.get(part)
-        if ids is None:
-            ids = tuple(i for p in self.shortest(part) for i in self.emit(p))
-            if len(part) <= CACHED_CHARS:
-                if len(self.known) >= CACHED:
-                    self.known.clear()
-                self.known[part] = ids
-        return ids
-
     def decode(self, ids: list[int] | None) -> str:
-        """The inverse: pieces and bytes joined, marks to blanks, the leading mark dropped."""
-        raw = b"".join(
-            bytes((self.byte_of[i],)) if i in self.byte_of else (self.text[i] or "").encode() for i in ids or ())
-        text = raw.decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+        """The inverse: pieces and bytes joined, marks to blanks, the leading blank dropped."""
+        spelled = self.spelled
+        text = b"".join([spelled[i] for i in ids or ()]).decode("utf-8", "replace")
+        return text[1:] if self.normalise.lead and text.startswith(" ") else text
 
 
 @lru_cache(maxsize=2)
@@ -174,17 +259,19 @@ def round_trips(docs: DataFrame, model: str, key: str = "doc_id", text: str = "t
     the text back (a null counts as the empty text). Rows that repeat stay."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model)
-        fallback = np.zeros(len(machine.text), bool)
+        fallback = np.zeros(len(machine.spelled), bool)
         fallback[list(machine.byte_of)] = True
         for b in batches:
             for at in range(0, max(1, b.num_rows), 512):  # small batches: ids take more room than text
                 part = b.slice(at, 512)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids = [machine.encode(t) for t in texts]
-                flat = [np.asarray(x, np.int32) for x in ids]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
+                flat = np.fromiter((i for x in ids for i in x), np.int32, ends[-1])
+                upto = np.concatenate([[0], np.cumsum(fallback[flat])])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(flat, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()),
-                     pa.array([int(fallback[f].sum()) for f in flat], pa.int64()),
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(np.diff(ends)),
+                     pa.array(np.diff(upto[ends]).astype(np.int64)),
                      pa.array([machine.decode(x) == t for x, t in zip(ids, texts, strict=True)])],
                     ["k", "ids", "n_ids", "n_fallback", "round_trip"])
 
