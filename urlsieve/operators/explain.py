@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlsieve import constants as K
-from urlsieve.operators import pages as P
+from urlsieve.functions.text import strip
+from urlsieve.operators import features as FE, pages as P
 from urlsieve.operators.lookups import lookup_join
+from urlsieve.operators.models import URL_NGRAMS
+from urlsieve.session import cut_lineage
 
 BLOCK = 4
 
@@ -63,6 +68,54 @@ def explain_linear(
     )
 
 
+# --- attributions of a fitted URL model ---------------------------------------------------
+
+def gram_index(model: PipelineModel, grams: DataFrame, bits: int) -> DataFrame:
+    """``gram, cell, weight``: the hash cell of every distinct piece seen, with its fitted coefficient."""
+    linear = model.stages[-1]
+    spark, weights = grams.sparkSession, linear.coefficients.toArray()[: 1 << bits]
+    # bounded by the number of cells, a parameter of the model
+    table = spark.createDataFrame([(int(i), float(weights[i])) for i in weights.nonzero()[0]], "cell int, weight double")
+    vectors = HashingTF(inputCol="_grams", outputCol="_vector", numFeatures=1 << bits, binary=True).transform(
+        grams.select("gram").distinct().withColumn("_grams", F.array("gram")))
+    cell = F.udf(lambda v: int(v.indices[0]), "int")  # once per distinct piece
+    return vectors.select("gram", cell("_vector").alias("cell")).join(F.broadcast(table), "cell", "left").select(
+        "gram", "cell", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
+def explain_url_model(
+    model: PipelineModel, df: DataFrame, stats: DataFrame, keep: Sequence[str], url: str = "url", bits: int = 18,
+) -> DataFrame:
+    """``*keep, kind, name, position, attribution``: what moves the log-odds of a fitted URL model, per row.
+
+    Kinds are ``base`` (the intercept), ``lexical`` (coefficient x standardised value, one row per feature)
+    and ``piece`` (a coefficient per hash cell that the URL's pieces meet, named by its first piece, with
+    that piece's place). The attributions of a row add up to the model's log-odds. ``keep`` must identify
+    a row.
+    """
+    linear = model.stages[-1]
+    tail = linear.coefficients.toArray()[1 << bits:]
+    cleaned = df.select(*keep, strip(F.col(url)).alias("_url"))
+    z = FE.normalize_features(FE.lexical_features(cleaned, "_url", (*keep, "_url")), stats, (*keep, "_url"))
+    def item(kind: str, name: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(None).cast("int").alias("position"), value.alias("attribution"))
+
+    named = F.array(item("base", "base", F.lit(float(linear.intercept))),
+                    *(item("lexical", n, F.col(n) * float(w)) for n, w in zip(K.LEXICAL_FEATURES, tail, strict=True)))
+    whole = z.select(*keep, F.inline(named))
+    pieces = None
+    for n in URL_NGRAMS:
+        part = cleaned.select(*keep, F.posexplode(P.char_ngrams(F.col("_url"), n)).alias("position", "gram"))
+        pieces = part if pieces is None else pieces.unionByName(part)
+    index = cut_lineage(gram_index(model, pieces.select("gram"), bits))
+    weighed = lookup_join(pieces, index, "gram")
+    first = weighed.groupBy(*keep, "cell").agg(
+        F.min(F.struct("position", "gram")).alias("_p"), F.first("weight").alias("attribution"))
+    cells = first.where("attribution <> 0").select(
+        *keep, F.lit("piece").alias("kind"), F.col("_p.gram").alias("name"), F.col("_p.position").alias("position"), "attribution")
+    return whole.unionByName(cells)
+
+
 def block_weights(
     df: DataFrame, weights: DataFrame, keep: Sequence[str], url: str = "url", n: int = 3
 ) -> DataFrame:

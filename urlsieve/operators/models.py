@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlsieve import constants as K
@@ -143,17 +144,22 @@ def score_frame(scored: DataFrame, threshold: float = 0.5, keep: Sequence[str] =
 
 # --- importance ---------------------------------------------------------------------------
 
+def stored_nodes(model: PipelineModel, spark: SparkSession) -> tuple[DataFrame, list[float]]:
+    """``treeID`` and node columns of a boosted ensemble, one row per node, and the weights of its trees."""
+    trees = next(s for s in model.stages if isinstance(s, GBTClassificationModel))
+    # the ensemble writes its nodes as a table in the shared folder
+    path = run_dir(spark, "trees")
+    trees.write().overwrite().save(path)
+    return spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*"), list(trees.treeWeights)
+
+
 def tree_importance(model: PipelineModel, df: DataFrame, names: Sequence[str] = K.TABULAR_FEATURES) -> DataFrame:
     """Per feature: splits (weight), mean and total gain, mean and total cover, rank by gain.
 
     Read from the stored trees, one row per node.
     """
     spark = df.sparkSession
-    trees = next(s for s in model.stages if isinstance(s, GBTClassificationModel))
-    # the ensemble writes its nodes as a table in the shared folder
-    path = run_dir(spark, "trees")
-    trees.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("nodeData.*").where("leftChild >= 0")
+    nodes = stored_nodes(model, spark)[0].where("leftChild >= 0")
     named = inline_table(spark, ["position", "feature"], list(enumerate(names)))
     stats = nodes.groupBy(F.col("split.featureIndex").alias("position")).agg(
         F.count("*").alias("weight"), F.avg("gain").alias("gain"), F.avg("rawCount").alias("cover"),
@@ -163,32 +169,101 @@ def tree_importance(model: PipelineModel, df: DataFrame, names: Sequence[str] =
     return ranked.select("feature", "weight", "gain", "cover", "total_gain", "total_cover")
 
 
-def permuted(df: DataFrame, column: str, seed: int) -> DataFrame:
-    """Permute one column inside Arrow batches of randomly spread rows."""
-
-    def shuffle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = np.random.default_rng(seed)
-        for batch in batches:
-            batch[column] = rng.permutation(batch[column].to_numpy())
-            yield batch
-
-    return df.mapInPandas(shuffle, df.schema)
+@dataclass
+class FlatTrees:
+    """A boosted ensemble as arrays, small enough to travel with a task: all nodes of all trees in one row."""
+
+    roots: np.ndarray
+    feature: np.ndarray  # -1 at leaves
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray  # of leaves, times the weight of the tree
+    depth: int
+
+    @staticmethod
+    def of(model: PipelineModel, spark: SparkSession) -> FlatTrees:
+        table, weights = stored_nodes(model, spark)
+        # bounded by rounds and depth of the model
+        rows = table.select(
+            "treeID", "id", "leftChild", "rightChild", "prediction", F.col("split.featureIndex").alias("f"),
+            F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("t")).orderBy("treeID", "id").collect()
+        place = {(r["treeID"], r["id"]): i for i, r in enumerate(rows)}
+        inner = np.array([r["leftChild"] >= 0 for r in rows])
+        child = lambda c: np.array([place[r["treeID"], r[c]] if r[c] >= 0 else i for i, r in enumerate(rows)])
+        left, right = child("leftChild"), child("rightChild")
+        level, depth = np.zeros(len(rows), int), 0
+        for i in range(len(rows)):  # children are stored behind their parent
+            if inner[i]:
+                level[left[i]] = level[right[i]] = level[i] + 1
+                depth = max(depth, level[i] + 1)
+        return FlatTrees(
+            np.array([place[t, 0] for t in range(len(weights))]), np.where(inner, [r["f"] for r in rows], -1),
+            np.array([r["t"] if r["t"] is not None else 0.0 for r in rows]), left, right,
+            np.array([r["prediction"] * weights[r["treeID"]] for r in rows]), int(depth))
+
+    def used_by(self) -> list[np.ndarray]:
+        """Per tree the features it asks for."""
+        ends = [*self.roots[1:], len(self.feature)]
+        return [np.unique(f[f >= 0]) for f in (self.feature[a:b] for a, b in zip(self.roots, ends, strict=True))]
+
+    def margins(self, x: np.ndarray, tree: int) -> np.ndarray:
+        """What a tree adds to each row's log-odds (halved)."""
+        at, rows = np.full(len(x), self.roots[tree]), np.arange(len(x))
+        for _ in range(self.depth):
+            f = self.feature[at]
+            down = np.where(x[rows, np.maximum(f, 0)] <= self.threshold[at], self.left[at], self.right[at])
+            at = np.where(f >= 0, down, at)
+        return self.value[at]
+
+
+def permuted_scores(trees: FlatTrees, names: Sequence[str], label: str, seed: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per batch the scores of all rows as they are (feature -1) and with each feature permuted inside the batch.
+
+    A permutation changes only the trees that ask for the feature, so the others are not walked again.
+    """
+    used = trees.used_by()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for number, batch in enumerate(batches):
+            x = batch[list(names)].to_numpy(float)
+            y = batch[label].to_numpy()
+            parts = np.stack([trees.margins(x, t) for t in range(len(trees.roots))]) if len(trees.roots) else np.zeros((1, len(x)))
+            whole = parts.sum(axis=0)
+            yield pd.DataFrame({"feature": -1, "score": whole, "label": y})
+            for j in range(len(names)):
+                touched = [t for t, f in enumerate(used) if j in f]
+                score = whole
+                if touched:
+                    kept = x[:, j].copy()
+                    x[:, j] = np.random.default_rng([seed, j, number]).permutation(kept)
+                    # summed in the same order as the whole, so that unchanged trees leave equal scores equal
+                    moved = parts.copy()
+                    for t in touched:
+                        moved[t] = trees.margins(x, t)
+                    score = moved.sum(axis=0)
+                    x[:, j] = kept
+                yield pd.DataFrame({"feature": j, "score": score, "label": y})
+
+    return run
 
 
 def permutation_importance(
-    model: PipelineModel, features: DataFrame, names: Sequence[str], label: str = "label", seed: int = 42
+    model: PipelineModel, features: DataFrame, names: Sequence[str] = K.TABULAR_FEATURES, label: str = "label", seed: int = 42
 ) -> DataFrame:
-    """Loss of ROC area when a feature is permuted, for each named feature."""
-
-    def area(rows: DataFrame) -> DataFrame:
-        scored = model.transform(rows).select(label, probability_of().alias("score"))
-        return M.curve_areas(scored, "score", label).select("roc_auc")
-
-    spread = features.repartition(F.xxhash64(*features.columns))
-    base = area(features).withColumnRenamed("roc_auc", "base")
-    parts = None
-    for i, name in enumerate(names):
-        one = area(permuted(spread, name, seed + i)).withColumn("feature", F.lit(name))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.crossJoin(F.broadcast(base)).select(
-        "feature", (F.col("base") - F.col("roc_auc")).alias("importance"))
+    """Loss of ROC area when a feature is permuted, for every feature of a tree model: ``feature, importance``.
+
+    ``features`` should be rows the model was not trained on. They are spread and ordered by hash, so that
+    batches are random and the same at every run; one pass scores all permutations of a batch, and the
+    areas of all features are one grouped curve. ``names`` are the model's inputs, in its order.
+    """
+    spark = features.sparkSession
+    trees = FlatTrees.of(model, spark)
+    order = F.xxhash64(*features.columns)
+    spread = features.select(*names, F.col(label).cast("int").alias(label), order.alias("_order")).repartition("_order").sortWithinPartitions("_order")
+    rows = spread.mapInPandas(permuted_scores(trees, names, label, seed), "feature int, score double, label int")
+    areas = M.curve_areas(rows, groups=("feature",)).select("feature", "roc_auc")
+    base = areas.where("feature = -1").select(F.col("roc_auc").alias("base"))
+    named = inline_table(spark, ["feature", "name"], list(enumerate(names)))
+    return areas.join(F.broadcast(named), "feature").crossJoin(F.broadcast(base)).select(
+        F.col("name").alias("feature"), (F.col("base") - F.col("roc_auc")).alias("importance"))

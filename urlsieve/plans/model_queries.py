@@ -37,7 +37,7 @@ def evaluation(scored, groups=()):
 
 def _trees(rows):
     return MD.train_trees(rows.where("split <> 'test'").withColumn("held_out", F.col("split") == "val"),
-                          validation="held_out", rounds=6, depth=4, step=0.3)
+                          validation="held_out")
 
 
 @query("train_gbt")
@@ -55,50 +55,55 @@ def feature_importance(spark, sf):
 @query("permutation_importance")
 def permutation_importance(spark, sf):
     rows = split_features(spark, sf)
-    names = ("url_len", "host_letter_count", "entropy_host")
-    return MD.permutation_importance(_trees(rows), rows.drop("split"), names)
+    return MD.permutation_importance(_trees(rows), rows.where("split = 'test'").drop("split"))
 
 
 @query("train_html_lr")
 def train_html_lr(spark, sf):
     pages = html_scan(spark, sf).withColumn("label", (F.col("label") == "phish").cast("int"))
-    model = MD.train_page_model(training_rows(pages), bits=14, iterations=10)
-    return evaluation(model.transform(MD.page_features(held_out_rows(pages), bits=14)))
+    model = MD.train_page_model(training_rows(pages))
+    return evaluation(model.transform(MD.page_features(held_out_rows(pages))))
 
 
 @query("html_hashed")
 def html_hashed(spark, sf):
-    """Hashed page vectors: distinct cells and norm of each (the norm is 1 by construction)."""
-    from pyspark.ml.functions import vector_to_array
+    """Hashed page vectors: distinct cells and norm of each (the norm is 1 by construction).
 
-    vectors = MD.page_features(html_scan(spark, sf).select("page_id", "html"), bits=12)
-    cells = vector_to_array("features")
-    return vectors.select(
-        "page_id", F.size(F.filter(cells, lambda v: v > 0)).alias("cells"),
-        F.round(F.aggregate(cells, F.lit(0.0), lambda a, v: a + v * v), 6).alias("norm"))
+    Vectors of 2^20 cells stay sparse: the two numbers are taken from the stored entries.
+    """
+    vectors = MD.page_features(html_scan(spark, sf).select("page_id", "html"))
+    sizes = F.udf(lambda v: (v.numNonzeros(), float(v.norm(2)) ** 2), "cells int, norm double")
+    return vectors.select("page_id", sizes("features").alias("v")).select("page_id", "v.cells", F.round("v.norm", 6).alias("norm"))
 
 
 def _url_model(spark, sf):
     rows = urls(spark, sf)
     stats = cut_lineage(FE.feature_stats(training_rows(FE.lexical_features(rows, "url", (*KEYS, "label")))))
-    return rows, stats, MD.train_url_model(training_rows(rows), stats, bits=14, iterations=10)
+    return rows, stats, MD.train_url_model(training_rows(rows), stats)
 
 
 @query("train_char_lr")
 def train_char_lr(spark, sf):
     rows, stats, model = _url_model(spark, sf)
-    return evaluation(model.transform(MD.url_sequence_features(held_out_rows(rows), stats, "url", ("label",), bits=14)))
+    return evaluation(model.transform(MD.url_sequence_features(held_out_rows(rows), stats, "url", ("label",))))
 
 
 @query("score_urls")
 def score_urls(spark, sf):
     rows, stats, model = _url_model(spark, sf)
-    vectors = MD.url_sequence_features(rows, stats, "url", KEYS, bits=14)
+    vectors = MD.url_sequence_features(rows, stats, "url", KEYS)
     return MD.score_frame(model.transform(vectors), 0.5, (*KEYS, "url"))
 
 
 # --- explanations -------------------------------------------------------------------------
 
+@query("explain_url_model")
+def explain_url_model(spark, sf):
+    """Every attribution of the fitted URL model; with the base value they add up to the log-odds."""
+    rows, stats, model = _url_model(spark, sf)
+    return X.explain_url_model(model, rows, stats, KEYS)
+
+
 _TALL = " UNION ALL ".join(
     f"SELECT page_id, variant, {i} AS position, '{n}' AS feature, round({z_sql(n)}, 6) AS z FROM lex" for i, n in enumerate(K.LEXICAL_FEATURES))
 

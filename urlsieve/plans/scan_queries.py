@@ -128,7 +128,7 @@ def stream_score(spark, sf):
     _, stats, model = _url_model(spark, sf)
     jobs.score_requests(
         stream(spark, sf, "pages").select("page_id", "url"),
-        lambda batch: MD.url_sequence_features(batch, stats, "url", ("page_id",), bits=14),
+        lambda batch: MD.url_sequence_features(batch, stats, "url", ("page_id",)),
         model, f"{folder}/out", f"{folder}/state", keep=("page_id", "url"),
     ).awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch_id")
