@@ -374,3 +374,23 @@ def test_html(spark, none):
     assert out[9] == "a\nb" and out[10] == out[11] == ""
     assert out[21] == "own 1"  # text of the template is no content
     assert html_text.extract(pages).count() == len(rows) and html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_secrets_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(secrets, "BLOCK", block)
+    texts = ["", None, *(" ".join(f"é token=abcdefgh{i} ab" for i in range(n)) + " end" * (n % 2) for n in (1, 2, 3, 4, 7, 256, 257, 513))]
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.with_secrets(df)).collect()}
+    assert got == {i: ",".join(brute_spans(t)) for i, t in enumerate(texts)}
+
+
+def test_secrets_without_a_broadcast(spark, docs, real, monkeypatch):
+    """Verdicts too large to broadcast meet the rows by a split join; results are the same."""
+    from urlsieve.operators import lookups
+
+    df = real.select("doc_id", "text", "source").unionByName(docs.select("doc_id", "text", "source"))
+    key = lambda x: sorted(map(repr, secrets.digest(secrets.with_secrets(x)).collect()))
+    want = key(df)
+    monkeypatch.setattr(lookups, "fits_broadcast", lambda *a: False)
+    assert key(df) == want

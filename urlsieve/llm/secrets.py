@@ -5,8 +5,9 @@ every value is aggregated by distinct owners and by distinct texts (a mirrored d
 value that several owners carry in several texts is a copied example, any other looks like a live credential. Base spans always stay; a mixed token
 becomes a span only when its value looks live.
 
-Built-in functions only. Texts stay in their rows: only documents that hold a mixed token send a few
-hashes to the aggregate, and the verdicts come back per document row.
+Built-in functions only. Candidates are extracted once; only documents that have some are stored, without
+their texts, and the verdicts come back to the rows by a hash of the text. Texts move only where the
+verdicts outgrow a broadcast, and then never those of a widely copied text.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlsieve.llm.common import fence, free_names
+from urlsieve.operators.lookups import lookup_join
+from urlsieve.session import cut_lineage
 
 # Fixed by the result contract: key word in either case, optional quote, sign, value.
 ASSIGN = (
@@ -26,6 +29,7 @@ HEX = "[0-9a-f]+"
 # The method's own candidates: runs of 20 or more token characters with both cases and a digit.
 MIXED = "[A-Za-z0-9_-]{20,}"
 KINDS = ("assign", "access", "hex", "mixed")
+BLOCK = 256  # matches that one growing list may hold
 MAX_OWNERS = MAX_TEXTS = 1
 FEW = 3  # owners and texts up to which the pipeline masks a value
 MASK = "[SECRET]"
@@ -34,21 +38,36 @@ MASK = "[SECRET]"
 def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches as structs (kind, s, e, value); those too short are dropped.
 
-    A text is the pieces between matches and the matches in turn, so their lengths give the places.
+    A text is the pieces between matches and the matches in turn, so their lengths give the places. Many
+    matches are taken in blocks, whose starts are summed up first: a list that grows by one match at a
+    time would copy itself each time.
     """
     hits, gaps, values = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), group)
-    step = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,s:int,e:int,value:string>>").alias("found"))
     parts = F.arrays_zip(hits.alias("hit"), gaps.alias("gap"), values.alias("value"))
 
+    def width(p: Column) -> Column:
+        return F.length(p["gap"]) + F.length(F.coalesce(p["hit"], F.lit("")))
+
     def add(state: Column, p: Column) -> Column:
-        start = state["at"] + F.length(p["gap"])
-        end = start + F.length(F.coalesce(p["hit"], F.lit("")))
+        start, end = state["at"] + F.length(p["gap"]), state["at"] + width(p)
         one = F.struct(F.lit(kind).alias("kind"), start.alias("s"), end.alias("e"), p["value"].alias("value"))
         # the list grows only by kept matches; short ones (every run of hex letters in prose) cost no copy
         kept = F.when(F.length(p["value"]) >= least, F.concat(state["found"], F.array(one))).otherwise(state["found"])
         return F.struct(end.alias("at"), kept.alias("found"))
 
-    return F.aggregate(parts, step, add, lambda s: s["found"])
+    def walked(some: Column, start: Column) -> Column:
+        step = F.struct(start.alias("at"), F.array().cast("array<struct<kind:string,s:int,e:int,value:string>>").alias("found"))
+        return F.aggregate(some, step, add, lambda s: s["found"])
+
+    def blocked(whole: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / BLOCK).cast("int"))
+        blocks = F.transform(numbers, lambda i: F.slice(whole, i * BLOCK + 1, F.lit(BLOCK)))
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, p: n + width(p)))
+        starts = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda st, n: F.struct(
+            (st["at"] + n).alias("at"), F.concat(st["all"], F.array(st["at"])).alias("all")), lambda st: st["all"])
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), starts.alias("at")), lambda x: walked(x["b"], x["at"])))
+
+    return F.when(F.size(gaps) <= BLOCK, walked(parts, F.lit(0))).otherwise(blocked(parts))
 
 
 def candidates(text: Column) -> Column:
@@ -89,35 +108,28 @@ def with_secrets(
     as one owner, and copies of a text, whatever their keys, as one text. Null and empty
     texts have no spans. Rows that repeat, null keys included, get the same spans each.
     """
-    cand, listed, verdict = free_names(docs, "_cand", "_listed", "_verdict")
-    owned = F.coalesce(F.col(owner).cast("string"), F.lit(""))
-    values = F.transform(F.col(cand), lambda x: F.xxhash64(x["value"]))
     keep = [c for c in docs.columns if c != "secrets"]
-    found = fence(docs.select(*keep, candidates(F.col(text)).alias(cand)))
-    slim = found.where(F.size(cand) > 0).select(owned.alias("_owner"), F.xxhash64(text).alias("_text_id"), F.col(cand).alias("_spans"), values.alias("_set"))
-    table = ownership(slim, "_owner")
-    # Copies of a document share one list of values; lists travel once each, with the count per place.
-    lists = slim.select(F.xxhash64("_set").alias("_id"), "_set").groupBy("_id").agg(F.min("_set").alias("_set"))
-    judged = (
-        lists.select("_id", F.posexplode("_set").alias("_at", "_h")).join(table, "_h").groupBy("_id")
-        .agg(F.sort_array(F.collect_list(F.struct("_at", "n_owners", "n_texts"))).alias(verdict))
-    )
+    (text_id,) = free_names(docs, "_text_id")
+    # of a text's two hashes: candidates depend on the text alone
+    number = F.concat(F.hex(F.xxhash64(text)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), F.col(text))))
+    owned = F.coalesce(F.col(owner).cast("string"), F.lit(""))
+    # the only extraction: stored are the few documents that have candidates, without their texts
+    found = cut_lineage(fence(docs.select(
+        number.alias("_text_id"), owned.alias("_owner"), candidates(F.col(text)).alias("_spans"))).where(F.size("_spans") > 0))
+    table = ownership(found, "_owner")
+    each = found.groupBy("_text_id").agg(F.first("_spans").alias("_spans")).select("_text_id", F.posexplode("_spans").alias("_at", "_x"))
+    met = lookup_join(each.withColumn("_h", F.xxhash64("_x.value")), table, "_h")
+    live = (F.col("n_owners") <= max_owners) | (F.col("n_texts") <= max_texts)
+    kind = F.array_position(F.array(*map(F.lit, KINDS)), F.col("_x.kind"))
+    judged = met.withColumn("live", live).where("_x.kind <> 'mixed' OR live").groupBy("_text_id").agg(
+        F.sort_array(F.collect_list(F.struct(
+            F.col("_x.s").alias("s"), kind.alias("k"), "_at",
+            F.struct("_x.kind", "_x.s", "_x.e", "_x.value", "n_owners", "n_texts", "live").alias("x")))).alias("_list"))
+    # one text's candidates, in order of start, then kind
+    dim = judged.select(F.col("_text_id").alias(text_id), F.transform("_list", lambda y: y["x"]).alias("secrets"))
     none = F.array().cast("array<struct<kind:string,s:int,e:int,value:string,n_owners:bigint,n_texts:bigint,live:boolean>>")
-    without = found.where(F.size(cand) == 0).select(*keep, none.alias("secrets"))
-    joined = found.where(F.size(cand) > 0).withColumn(listed, F.xxhash64(values)).join(
-        judged.withColumnRenamed("_id", listed), listed)
-    owners = F.col(verdict)
-
-    def judge(x: Column, i: Column) -> Column:
-        n, m = F.get(owners, i)["n_owners"], F.get(owners, i)["n_texts"]
-        return F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"),
-                        n.alias("n_owners"), m.alias("n_texts"), ((n <= max_owners) | (m <= max_texts)).alias("live"))
-
-    kept = F.filter(F.transform(F.col(cand), judge), lambda x: (x["kind"] != "mixed") | x["live"])
-    order = F.transform(kept, lambda x: F.struct(
-        x["s"].alias("s"), F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("k"), x.alias("x")))
-    placed = F.transform(F.sort_array(order), lambda y: y["x"])
-    return joined.select(*keep, placed.alias("secrets")).unionByName(without)
+    rows = lookup_join(docs.select(*keep, number.alias(text_id)), dim, text_id)
+    return rows.select(*keep, F.coalesce("secrets", none).alias("secrets"))
 
 
 def listing(found: Column) -> Column:
