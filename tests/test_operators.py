@@ -174,6 +174,19 @@ def test_lookup_join_is_a_left_join(spark, share, limit):
     assert got == sorted(map(tuple, rows.join(dim, "k", "left").select("i", "k", "v", "w").collect()))
 
 
+@pytest.mark.parametrize("limit", [0, 100, 1 << 20])  # salted copies of the hot part, a broadcast of it, a broadcast of all
+def test_lookup_join_with_clashing_names(spark, limit):
+    names = ["_hot", "_HOT_KEY", "_cold", "_salt", "_cold_salt", "_cold_key"]
+    rows = spark.createDataFrame([(f"k{i % 3 if i < 300 else i % 40}", *range(6)) for i in range(400)], "k string, " + ", ".join(f"{n} int" for n in names))
+    dim = spark.createDataFrame([(f"k{i}", i) for i in range(30)], "k string, v int")
+    got = sorted(map(repr, L.lookup_join(rows, dim, "k", share=3, limit=limit).collect()))
+    assert got == sorted(map(repr, rows.join(dim, "k", "left").select("k", *names, "v").collect()))
+
+
+def test_broadcasts_are_measured_in_bytes(spark):
+    assert L.stored_bytes(spark.createDataFrame([("é" * 100,)], "x string")) > 200 and L.stored_bytes(spark.createDataFrame([], "x string")) == 0
+
+
 def test_longest_suffix(spark):
     hosts = ["a.b.co.uk", "co.uk", "uk", "x.uk", "none", "", "b.city.kawasaki.jp"]
     rows = spark.createDataFrame([(h,) for h in hosts], "host string")
