@@ -394,3 +394,29 @@ def test_secrets_without_a_broadcast(spark, docs, real, monkeypatch):
     want = key(df)
     monkeypatch.setattr(lookups, "fits_broadcast", lambda *a: False)
     assert key(df) == want
+
+
+def test_neighbours_of_equal_ids_and_unequal_vector_lengths(spark):
+    rows = [(20, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (2, [1.0]), (3, [1.0, 1.0, 1.0]), (4, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for parts in (1, 5):
+        got = neighbours.search(df.repartition(parts), "vec_id % 20 = 0").orderBy("rank").collect()
+        assert [(r["vec_id"], r["score"]) for r in got] == [(1, 2.0), (4, 0.5)]
+    tied = spark.createDataFrame([(20, [1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    assert neighbours.search(tied, "vec_id % 20 = 0").count() == 0
+
+
+def test_documents_that_share_a_key_are_kept_by_text(spark):
+    words = [f"u{i}" for i in range(60)]
+    rows = [(1, "first of two texts under one key"), (1, "a second and wholly other text here now"), (1, "first of two texts under one key"),
+            (2, " ".join(words)), (3, " ".join([*words, "x"])), (None, " ".join(words))]
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, _pair string, _state int").repartition(3)
+    for keep in (simhash.one_per_class, copies.one_per_copy):
+        kept = Counter((r["doc_id"], r["text"]) for r in keep(df).collect())
+        want = [(1, rows[0][1]), (1, rows[1][1]), (2, rows[3][1]), (None, rows[5][1])]
+        assert all(kept[w] == 1 for w in want) and keep(df).columns == df.columns
+
+
+def test_quality_with_clashing_names(docs):
+    odd = docs.withColumnsRenamed({"_key": "_lines", "n_chars": "_words"})
+    assert quality.with_quality(odd, [0.0] * 8).where("_lines = 7").count() == len(ODD)

@@ -20,8 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlsieve.llm.common import free_names
-from urlsieve.llm.simhash import SEED, _bit_counts, components, local_forest
+from urlsieve.llm.simhash import SEED, _bit_counts, components, local_forest, one_per_root
 from urlsieve.operators.lookups import lookup_join
 from urlsieve.session import cut_lineage
 
@@ -67,7 +66,7 @@ def bits_of(found: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """``_key, _set, _n, _f0 .. _f3`` per row: id and size of the shingle set, fingerprint words."""
+    """``_key, _set, _n, _f0 .. _f3, _text_id`` per row: id and size of the shingle set, fingerprint words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,11 +78,11 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
                 words.append(bits_of(found))
             w = np.array(words, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(w[:, i]) for i in range(4))],
-                ["_key", "_set", "_n", *BITS])
+                [b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(w[:, i]) for i in range(4)), b.column(2)],
+                ["_key", "_set", "_n", *BITS, "_text_id"])
 
-    slim = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    return slim.mapInArrow(run, "_key long, _set long, _n long, " + ", ".join(f"{f} long" for f in BITS))
+    slim = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_text_id"))
+    return slim.mapInArrow(run, "_key long, _set long, _n long, " + ", ".join(f"{f} long" for f in BITS) + ", _text_id long")
 
 
 def tile_candidates(
@@ -214,8 +213,14 @@ def near_copies(
     """``<key>, component_id`` for every row of ``docs`` with a key.
 
     ``component_id`` is the smallest key reachable over texts whose shingle sets are similar enough.
-    Null and blank texts have an empty set and link with each other.
+    Null and blank texts have an empty set and link with each other. Repeated rows stay; an empty table
+    gives an empty result.
     """
+    return classified(docs, key, text, similarity, shingle).select(F.col("_key").alias(key), "component_id")
+
+
+def classified(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """``_key, _text_id, _root, component_id`` for every row with a key; ``_root`` numbers the class."""
     rows = cut_lineage(sketches(docs, key, text, shingle))
     sets = cut_lineage(rows.groupBy("_set").agg(
         F.min("_key").alias("_least"), F.first("_n").alias("_n"), *(F.first(f).alias(f) for f in BITS)))
@@ -227,17 +232,10 @@ def near_copies(
     named = sets.select("_set", "_least").join(roots.withColumnRenamed("node", "_set"), "_set", "left").select(
         "_set", "_least", F.coalesce("root", "_set").alias("_root"))
     classes = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    table = named.select("_set", "_root").join(classes, "_root").select("_set", "component_id")
-    return rows.select("_key", "_set").join(table, "_set").select(F.col("_key").alias(key), "component_id")
+    table = named.select("_set", "_root").join(classes, "_root").select("_set", "_root", "component_id")
+    return rows.select("_key", "_set", "_text_id").join(table, "_set").select("_key", "_text_id", "_root", "component_id")
 
 
 def one_per_copy(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, one for each class of near copies: that of the smallest key.
-
-    Rows with a null key cannot name a class and stay.
-    """
-    found = near_copies(docs, key, text, **how)
-    (gone,) = free_names(docs, "_gone")
-    out = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias(gone)).distinct()
-    keyed = docs.join(out, docs[key] == out[gone], "left_anti").where(F.col(key).isNotNull())
-    return keyed.dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+    """The rows of ``docs``, one for each class of near copies; see ``simhash.one_per_root`` for ties."""
+    return one_per_root(docs, classified(docs, key, text, **how), key, text)

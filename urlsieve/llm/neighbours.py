@@ -88,11 +88,16 @@ def search(
     """``query_id, rank, vec_id, score``: the k best rows found for each query row, its own excluded.
 
     ``query`` selects the query rows: a condition (SQL or column) on ``key``. Ranks follow score, then smaller id. Vectors that are
-    null, zero or hold null or non-finite parts take no part; vectors must share one length. A row that
-    repeats is a candidate once. Empty tables give no rows.
+    null, zero or hold null or non-finite parts take no part, nor do those of another length than most (of
+    equally frequent lengths the longer one counts). A row that repeats is a candidate once; of unequal
+    vectors with one id the smallest, part by part, counts. Empty tables give no rows.
     """
     spark = vectors.sparkSession
-    rows = cut_lineage(usable(vectors.where(F.col(key).isNotNull()), key, vector).dropDuplicates(["_id"]))
+    good = usable(vectors.where(F.col(key).isNotNull()), key, vector)
+    common = good.groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    if common is not None:
+        good = good.where(F.size("_v") == common["d"])
+    rows = cut_lineage(good.groupBy("_id").agg(F.min("_v").alias("_v")))
     length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
     facts = rows.agg(F.max(F.size("_v")).alias("d"), F.percentile_approx(length, 0.5).alias("n"), F.count("*").alias("rows")).first()
     shape = "query_id long, rank int, vec_id long, score double"

@@ -36,20 +36,20 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "word_hashes"]
     keep = [c for c in docs.columns if c not in own]
-    words, windows, ranked, places = free_names(docs.select(keep), "_words", "_windows", "_ranked", "_places")
+    words, windows, ranked, places, rows = free_names(docs.select(keep), "_words", "_windows", "_ranked", "_places", "_lines")
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     out = docs.select(
         *keep, blank_words(F.col(text)).alias(words),
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        lines.alias("_lines"),
+        lines.alias(rows),
     )
     out = out.select(
         *keep, "n_symbols",
         F.size(words).cast("long").alias("n_words"),
         F.when(F.size(words) > 0, F.length(F.array_join(words, " ")) - F.size(words) + 1).otherwise(0)
         .cast("long").alias("word_chars"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        (F.size(rows) - F.size(F.array_distinct(rows))).cast("long").alias("n_dup_lines"),
         F.transform(words, lambda w: F.xxhash64(w)).alias("word_hashes"),
     )
     hashes = F.col("word_hashes")

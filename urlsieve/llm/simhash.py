@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlsieve.llm.common import free_names
+from urlsieve.operators.lookups import lookup_join
 from urlsieve.session import cut_lineage
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -63,15 +64,15 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``_key, _fp`` (signed long) per row; rows that repeat stay."""
+    """``_key, _fp`` (signed long), ``_text_id`` per row; rows that repeat stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["_key", "_fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], ["_key", "_fp", "_text_id"])
 
-    slim = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    return slim.mapInArrow(run, "_key long, _fp long")
+    slim = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_text_id"))
+    return slim.mapInArrow(run, "_key long, _fp long, _text_id long")
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,25 +198,45 @@ def near_duplicates(
     and blank texts have fingerprint zero and link like any other; a row with a null key belongs to its
     component but never names it (null where no row of the component has a key). Repeated rows stay.
     """
+    return classified(docs, key, text, radius, shingle).select(
+        F.col("_key").alias(key), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id", "n_rows")
+
+
+def classified(docs: DataFrame, key: str, text: str, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """``_key, _text_id, _fp, _root, component_id, n_rows`` per row; ``_root`` numbers the class."""
     rows = cut_lineage(fingerprints(docs, key, text, shingle))
     distinct = cut_lineage(rows.groupBy("_fp").agg(F.min("_key").alias("_least"), F.count("*").alias("_n")))
     roots = components(near_links(distinct, radius))
     named = distinct.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select(
         "_fp", F.coalesce("root", "_fp").alias("_root"), "_least", "_n")
     classes = named.groupBy("_root").agg(F.min("_least").alias("component_id"), F.sum("_n").alias("n_rows"))
-    table = named.select("_fp", "_root").join(classes, "_root").select("_fp", "component_id", "n_rows")
-    return rows.join(table, "_fp").select(
-        F.col("_key").alias(key), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id", "n_rows")
+    table = named.select("_fp", "_root").join(classes, "_root").select("_fp", "_root", "component_id", "n_rows")
+    return rows.join(table, "_fp").select("_key", "_text_id", "_fp", "_root", "component_id", "n_rows")
 
 
-def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, one for each class: that of the smallest key (any one of equal keys).
+def one_per_root(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs``, one for each ``_root`` of ``rows`` (``_key, _text_id, _root``): that of the smallest
+    key, then text hash.
 
-    Rows with a null key cannot name a class and stay.
+    A document is its key and its text, so texts that share a key stay unless their classes have others.
+    Rows equal in both are one document, of which any row stays. Rows with a null key cannot name a class
+    and stay. Texts move only where the list of what goes outgrows a broadcast.
     """
-    found = near_duplicates(docs, key, text, **how)
-    (gone,) = free_names(docs, "_gone")
-    out = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias(gone)).distinct()
-    keyed = docs.join(out, docs[key] == out[gone], "left_anti").where(F.col(key).isNotNull())
-    # the join has dealt the rows by key already, so equal keys meet without another shuffle
-    return keyed.dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+    (pair,) = free_names(docs, "_pair")
+    (state,) = free_names(docs, "_state")
+    member = F.concat_ws(":", F.col("_key").cast("string"), F.hex("_text_id"))
+    each = rows.where(F.col("_key").isNotNull()).groupBy("_root", "_key", "_text_id").agg(F.count("*").alias("_n"))
+    # map-side minima: a large class sends a row per task
+    first = each.groupBy(F.col("_root").alias("_class")).agg(F.min(F.struct("_key", "_text_id")).alias("_first"))
+    judged = lookup_join(each, first.withColumnRenamed("_class", "_root"), "_root").select(
+        member.alias(pair), F.when(F.struct("_key", "_text_id") != F.col("_first"), "gone").when(F.col("_n") > 1, "many").alias(state))
+    named = docs.withColumn(pair, F.when(F.col(key).isNotNull(), F.concat_ws(
+        ":", F.col(key).cast("long").cast("string"), F.hex(F.xxhash64(text)))))
+    met = lookup_join(named, judged.where(F.col(state).isNotNull()), pair)
+    once = met.where(F.col(state) == "many").dropDuplicates([pair])
+    return met.where(F.col(state).isNull()).unionByName(once).select(*docs.columns)
+
+
+def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, one for each class of linked fingerprints; see :func:`one_per_root` for ties."""
+    return one_per_root(docs, classified(docs, key, text, **how), key, text)
