@@ -420,3 +420,16 @@ def test_documents_that_share_a_key_are_kept_by_text(spark):
 def test_quality_with_clashing_names(docs):
     odd = docs.withColumnsRenamed({"_key": "_lines", "n_chars": "_words"})
     assert quality.with_quality(odd, [0.0] * 8).where("_lines = 7").count() == len(ODD)
+
+
+def test_token_counts_by_either_list(spark, docs, real, tmp_path, monkeypatch):
+    """Rows to encode are named where they are few, rows to pass over otherwise; both give the same counts."""
+    df = docs.select("doc_id", "text").unionByName(real.select("doc_id", "text")).unionByName(docs.select("doc_id", "text"))
+    plain = token_counts.fits_broadcast
+    results = []
+    for name, fits in (("named", plain), ("skipped", lambda *a: False)):
+        monkeypatch.setattr(token_counts, "fits_broadcast", fits)
+        out = token_counts.with_token_counts(df, BPE, tokenizers.PATTERN, f"{tmp_path}/{name}").collect()
+        results.append(Counter(tuple(r) for r in out))
+        assert spark.read.parquet(f"{tmp_path}/{name}").count() == len({r["text"] or "" for r in df.collect()})
+    assert results[0] == results[1]

@@ -65,3 +65,16 @@ def test_stages_one_by_one_on_odd_rows(spark):
     assert [k for k, _ in kept["near_duplicates"]].count(3) == 1 and not {k for k, _ in kept["near_duplicates"]} & {4, 8}
     assert (None, PROSE) in kept["near_duplicates"] and len(kept["secrets"]) == len(ROWS) == len(kept["toxicity"])
     assert not {k for k, _ in kept["quality_rules"]} & {1, 2, 7}
+
+
+def test_token_counts_query_finds_earlier_counts(spark, tmp_path):
+    from urlsieve.llm import queries
+
+    spark.conf.set(queries.COUNT_CACHE, f"{tmp_path}/cache")
+    try:
+        rows = sorted(map(tuple, queries.QUERIES["op10_token_counts"](spark, SF).collect()))
+        stored = spark.read.parquet(f"{tmp_path}/cache").count()
+        assert sorted(map(tuple, queries.QUERIES["op10_token_counts"](spark, SF).collect())) == rows
+        assert spark.read.parquet(f"{tmp_path}/cache").count() == stored > 0  # the second run encoded nothing
+    finally:
+        spark.conf.unset(queries.COUNT_CACHE)

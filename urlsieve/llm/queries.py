@@ -69,10 +69,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.with_licenses(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+#: session setting that names a lasting cache of token counts; without it a run starts with an empty one
+COUNT_CACHE = "spark.urlsieve.tokenCountCache"
+
+
 @query("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.with_token_counts(docs, BYTE_BPE, tokenizers.PATTERN, run_dir(spark, "token-counts")).drop("text")
+    cache = spark.conf.get(COUNT_CACHE, None) or run_dir(spark, "token-counts")
+    return token_counts.with_token_counts(docs, BYTE_BPE, tokenizers.PATTERN, cache).drop("text")
 
 
 @query("op3_nearest_neighbours")
