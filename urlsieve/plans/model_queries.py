@@ -20,6 +20,8 @@ from urlsieve.plans.url_queries import STATS_CTE, held_out_rows, training_rows,
 from urlsieve.session import cut_lineage
 
 KEYS = ("page_id", "variant")
+# Cells and iterations of the linear models in these queries; the operators' defaults take eight times as long (README).
+LINEAR_BITS, LINEAR_ITERATIONS = 14, 10
 WITH = "WITH " + URLS_SQL
 
 
@@ -61,8 +63,8 @@ def permutation_importance(spark, sf):
 @query("train_html_lr")
 def train_html_lr(spark, sf):
     pages = html_scan(spark, sf).withColumn("label", (F.col("label") == "phish").cast("int"))
-    model = MD.train_page_model(training_rows(pages))
-    return evaluation(model.transform(MD.page_features(held_out_rows(pages))))
+    model = MD.train_page_model(training_rows(pages), bits=LINEAR_BITS, iterations=LINEAR_ITERATIONS)
+    return evaluation(model.transform(MD.page_features(held_out_rows(pages), bits=LINEAR_BITS)))
 
 
 @query("html_hashed")
@@ -72,26 +74,26 @@ def html_hashed(spark, sf):
     Vectors of 2^20 cells stay sparse: the two numbers are taken from the stored entries.
     """
     vectors = MD.page_features(html_scan(spark, sf).select("page_id", "html"))
-    sizes = F.udf(lambda v: (v.numNonzeros(), float(v.norm(2)) ** 2), "cells int, norm double")
+    sizes = F.udf(lambda v: (int(v.numNonzeros()), float(v.norm(2)) ** 2), "cells int, norm double")
     return vectors.select("page_id", sizes("features").alias("v")).select("page_id", "v.cells", F.round("v.norm", 6).alias("norm"))
 
 
 def _url_model(spark, sf):
     rows = urls(spark, sf)
     stats = cut_lineage(FE.feature_stats(training_rows(FE.lexical_features(rows, "url", (*KEYS, "label")))))
-    return rows, stats, MD.train_url_model(training_rows(rows), stats)
+    return rows, stats, MD.train_url_model(training_rows(rows), stats, bits=LINEAR_BITS, iterations=LINEAR_ITERATIONS)
 
 
 @query("train_char_lr")
 def train_char_lr(spark, sf):
     rows, stats, model = _url_model(spark, sf)
-    return evaluation(model.transform(MD.url_sequence_features(held_out_rows(rows), stats, "url", ("label",))))
+    return evaluation(model.transform(MD.url_sequence_features(held_out_rows(rows), stats, "url", ("label",), bits=LINEAR_BITS)))
 
 
 @query("score_urls")
 def score_urls(spark, sf):
     rows, stats, model = _url_model(spark, sf)
-    vectors = MD.url_sequence_features(rows, stats, "url", KEYS)
+    vectors = MD.url_sequence_features(rows, stats, "url", KEYS, bits=LINEAR_BITS)
     return MD.score_frame(model.transform(vectors), 0.5, (*KEYS, "url"))
 
 
@@ -101,7 +103,7 @@ def score_urls(spark, sf):
 def explain_url_model(spark, sf):
     """Every attribution of the fitted URL model; with the base value they add up to the log-odds."""
     rows, stats, model = _url_model(spark, sf)
-    return X.explain_url_model(model, rows, stats, KEYS)
+    return X.explain_url_model(model, rows, stats, KEYS, bits=LINEAR_BITS)
 
 
 _TALL = " UNION ALL ".join(

@@ -8,7 +8,7 @@ from urlsieve import constants as K
 from urlsieve.operators import models as MD
 from urlsieve.operators import scanlog as L
 from urlsieve.plans import sqlkit as Q
-from urlsieve.plans.model_queries import _url_model
+from urlsieve.plans.model_queries import LINEAR_BITS, _url_model
 from urlsieve.plans.registry import query
 from urlsieve.plans.tables import BAD_HOST, URLS_SQL, table, urls
 from urlsieve.session import run_dir
@@ -128,7 +128,7 @@ def stream_score(spark, sf):
     _, stats, model = _url_model(spark, sf)
     jobs.score_requests(
         stream(spark, sf, "pages").select("page_id", "url"),
-        lambda batch: MD.url_sequence_features(batch, stats, "url", ("page_id",)),
+        lambda batch: MD.url_sequence_features(batch, stats, "url", ("page_id",), bits=LINEAR_BITS),
         model, f"{folder}/out", f"{folder}/state", keep=("page_id", "url"),
     ).awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch_id")
