@@ -309,3 +309,46 @@ def test_null_keys_and_scores_are_counted_one_way(spark):
     for r in (sweep, point):
         assert (r["tp"], r["fp"], r["fn"], r["tn"]) == (0, 0, 1, 1)
     assert {(r["n_pos"], r["n_neg"]) for r in M.cumulative(scored).collect()} == {(1, 1)}
+
+
+# --- walks whose ways are long ------------------------------------------------------------
+
+def _walked(edges, seeds, max_depth=None):
+    out, after = {}, defaultdict(set)
+    for a, b in edges:
+        if a != b and b is not None:
+            after[a].add(b)
+    for seed, url in seeds:
+        level, depth = {url}, 0
+        while level and (max_depth is None or depth <= max_depth):
+            for u in level:
+                out[seed, u] = min(depth, out.get((seed, u), depth))
+            level, depth = {v for u in level for v in after[u] if out.get((seed, v), depth + 2) > depth + 1}, depth + 1
+    return out
+
+
+@pytest.mark.parametrize("block_links,cells,max_depth", [(1 << 18, 1 << 22, None), (20, 60, None), (20, 60, 6)])
+def test_far_walk_is_exact_for_any_blocks(spark, block_links, cells, max_depth):
+    rng = random.Random(5)
+    names = [f"u{i:03d}" for i in range(60)]
+    edges = [(names[i], names[i + 1]) for i in range(40)] + [(rng.choice(names), rng.choice(names)) for _ in range(30)]
+    edges += [("u001", None), ("u002", "u002"), ("u040", "u001")]
+    seeds = [(s, s) for s in names[::7]] + [("two", "u003"), ("two", "u035"), ("alone", "alone")]
+    got = C.reach_far(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(seeds, "seed string, url string"),
+                      max_depth, block_links=block_links, cells=cells).collect()
+    want = _walked(edges, seeds, max_depth)
+    assert len(got) == len(want) and {(r["seed"], r["url"]): r["depth"] for r in got} == want
+
+
+def test_sitemap_chain_takes_few_jobs(spark):
+    n, group = 150, "sitemap-chain"
+    maps = spark.createDataFrame([(f"m{i:04d}",) for i in range(n) if i != 7], "sitemap_url string")
+    kids = spark.createDataFrame([(f"m{i:04d}", f"m{i + 1:04d}") for i in range(n)], "src string, dst string")
+    roots = spark.createDataFrame([("m0000", "m0000")], "seed string, url string")
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = C.sitemap_tree(maps, roots, kids).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["sitemap_url"]: r["depth"] for r in got} == {f"m{i:04d}": i for i in range(n) if i != 7}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < n

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlsieve import constants as K
 from urlsieve.functions.urls import Rules, with_site
-from urlsieve.operators.lookups import hot_keys
+from urlsieve.operators.lookups import hot_keys, lookup_join
 from urlsieve.operators.pages import cap_per_group
 from urlsieve.session import cut_lineage
 
 SALTS = 64
+# links of one block of a far walk, and (seed, url) cells that one task holds
+BLOCK_LINKS, WALK_CELLS = 1 << 18, 1 << 22
+_FAR = np.iinfo(np.int32).max
+_STATE = "seed_id long, node_id long, depth int, fresh boolean"
 
 
 def reach(
@@ -67,6 +74,121 @@ def reach(
     return known.select("seed", "url", "depth")
 
 
+def numbered(df: DataFrame, column: str, name: str, parts: int) -> DataFrame:
+    """A stored table of the distinct values with a number each: the part in the high bits, the place in it in the low 33."""
+    rows = df.select(column).distinct().repartitionByRange(parts, column).sortWithinPartitions(column)
+    return cut_lineage(rows.withColumn(name, F.monotonically_increasing_id()))
+
+
+def _part(number: str) -> Column:
+    return F.shiftright(number, 33).cast("int")
+
+
+def walk_block(max_depth: int | None) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Walk one block of links for one group of seeds until nothing in it changes.
+
+    Fresh depths are followed level by level; what leaves the block comes back as fresh depths of other blocks.
+    """
+    limit = _FAR if max_depth is None else max_depth
+
+    def run(key: tuple, state: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        if not len(links):
+            return state[["seed_id", "node_id", "depth", "fresh"]].assign(fresh=False)
+        seeds, seed_at = np.unique(state["seed_id"].to_numpy(), return_inverse=True)
+        src, dst = links["src_id"].to_numpy(), links["dst_id"].to_numpy()
+        nodes = np.unique(np.concatenate([src, dst, state["node_id"].to_numpy()]))
+        width = len(nodes)
+        order = np.argsort(src, kind="stable")
+        target = np.searchsorted(nodes, dst[order])
+        start = np.searchsorted(src[order], nodes, "left")
+        degree = np.searchsorted(src[order], nodes, "right") - start
+        cell = seed_at * width + np.searchsorted(nodes, state["node_id"].to_numpy())
+        depth = np.full(len(seeds) * width, _FAR, np.int32)
+        depth[cell] = state["depth"].to_numpy()
+        fresh = cell[state["fresh"].to_numpy(bool)]
+        fresh = fresh[np.argsort(depth[fresh], kind="stable")]
+        given, used, front, level = depth[fresh], 0, fresh[:0], 0
+        while used < len(fresh) or len(front):
+            if not len(front):
+                level = int(given[used])
+            until = int(np.searchsorted(given, level, "right"))
+            joined = np.concatenate([front, fresh[used:until]])
+            used = until
+            if level >= limit:
+                break
+            joined = np.unique(joined[depth[joined] == level])  # others were reached on a shorter way
+            at = joined % width
+            n = degree[at]
+            ends = np.cumsum(n)
+            place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[at] - ends + n, n)
+            found = np.repeat(joined - at, n) + target[place]
+            front = np.unique(found[depth[found] > level + 1])
+            level += 1
+            depth[front] = level
+        known = np.flatnonzero(depth < _FAR)
+        node = nodes[known % width]
+        leaf = np.zeros(width, bool)
+        leaf[np.searchsorted(nodes, dst[links["leaf"].to_numpy(bool)])] = True
+        return pd.DataFrame({"seed_id": seeds[known // width], "node_id": node, "depth": depth[known],
+                             "fresh": (node >> 33 != key[0]) & ~leaf[known % width]})
+
+    return run
+
+
+def reach_far(
+    edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, within: DataFrame | None = None,
+    block_links: int = BLOCK_LINKS, cells: int = WALK_CELLS,
+) -> DataFrame:
+    """What :func:`reach` finds off-site, for graphs whose ways are long: rounds grow with blocks, not with depth.
+
+    URLs are numbered in order and cut into blocks of about ``block_links`` links, seeds into groups of
+    ``cells`` (seed, URL) pairs a block at most. A round is one cogroup: each (block, group) with fresh
+    depths walks its links to the end in arrays of that size, and the depths that leave it are fresh in the next
+    round where they are less than what is known. It ends when none are. The links of one index stay
+    together, as they do in its document. ``within`` (url) keeps only these in the result.
+    """
+    links = cut_lineage(edges.select("src", "dst").where("dst IS NOT NULL AND src <> dst").distinct())
+    roots = cut_lineage(seeds.select("seed", "url").where("url IS NOT NULL").distinct())
+    blocks = max(1, -(-links.count() // block_links))
+    urls = links.select(F.col("src").alias("url")).union(links.select("dst")).union(roots.select("url"))
+    nodes = numbered(urls, "url", "node_id", blocks)
+    inner = links.select(F.col("src").alias("url")).distinct().withColumn("inner", F.lit(True))
+    kinds = nodes.join(inner, "url", "left").select("url", "node_id", F.col("inner").isNull().alias("leaf"))
+    kinds = cut_lineage(kinds)
+    arcs = lookup_join(links.withColumnRenamed("src", "url"), kinds.select("url", F.col("node_id").alias("src_id")), "url")
+    arcs = lookup_join(arcs.select("src_id", F.col("dst").alias("url")), kinds.select("url", F.col("node_id").alias("dst_id"), "leaf"), "url")
+    arcs = cut_lineage(arcs.select(_part("src_id").alias("block"), "src_id", "dst_id", "leaf"))
+    # a block's own URLs and those that its links lead to
+    widest = arcs.groupBy("block").agg(F.countDistinct("dst_id").alias("n")).agg(F.max("n")).first()[0] or 0
+    widest += nodes.groupBy(_part("node_id").alias("block")).count().agg(F.max("count")).first()[0] or 0
+    groups = max(1, -(-roots.select("seed").distinct().count() * widest // cells))
+    starts = numbered(roots, "seed", "seed_id", groups)
+    state = lookup_join(roots, starts, "seed").join(kinds, "url").select(
+        "seed_id", "node_id", F.lit(0).alias("depth"), (~F.col("leaf")).alias("fresh"))
+    state = cut_lineage(state)
+    keys = (_part("node_id").alias("block"), _part("seed_id").alias("grp"))
+    while True:
+        active = cut_lineage(state.where("fresh").select(*keys).distinct())
+        if active.isEmpty():
+            break
+        keyed = state.select("*", *keys)
+        work = keyed.join(active, ["block", "grp"], "left_semi").groupBy("block", "grp").cogroup(
+            arcs.join(active, "block").groupBy("block", "grp"))
+        step = work.applyInPandas(walk_block(max_depth), _STATE)
+        if blocks > 1:
+            rest = keyed.join(active, ["block", "grp"], "left_anti").drop("block", "grp")
+            # where a known depth equals a fresh one, the known one is taken
+            step = step.unionByName(rest).groupBy("seed_id", "node_id").agg(
+                F.min(F.struct("depth", "fresh")).alias("best")).select("seed_id", "node_id", "best.*")
+        state = cut_lineage(step)
+    if within is not None:
+        nodes = nodes.join(within.select("url").distinct(), "url", "left_semi")
+        state = lookup_join(state, nodes, "node_id").where("url IS NOT NULL")
+    else:
+        state = lookup_join(state, nodes, "node_id")
+    return lookup_join(state.drop("fresh"), starts, "seed_id").select("seed", "url", "depth")
+
+
 def polite_schedule(
     requests: DataFrame, key: str, host: str = "host", arrival: str = "arrival",
     gap: float = K.REQUEST_GAP_SECONDS, chunks: int | None = None,
@@ -133,8 +255,12 @@ def sitemap_tree(maps: DataFrame, roots: DataFrame, children: DataFrame, cap: in
     ``children`` has src and dst (an index and a sitemap it lists). Only sitemaps that exist in
     ``maps`` count; ``cap`` asks for the nearest ones of each host.
     """
-    found = reach(children, roots, max_depth, on_site=False)
-    present = found.join(maps.select(F.col("sitemap_url").alias("url")).distinct(), "url", "left_semi")
-    named = present.select("seed", F.col("url").alias("sitemap_url"), "depth")
+    present = maps.select(F.col("sitemap_url").alias("url")).distinct()
+    children = cut_lineage(children.select("src", "dst"))
+    # other targets are only needed on the way to sitemaps
+    useful = present.union(children.select("src")).distinct()
+    kept = children.join(useful.withColumnRenamed("url", "dst"), "dst", "left_semi")
+    found = reach_far(kept, roots, max_depth, present)
+    named = found.select("seed", F.col("url").alias("sitemap_url"), "depth")
     return named if cap is None else cap_per_group(named, ["seed"], ["depth", "sitemap_url"], cap)
 
