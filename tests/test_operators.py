@@ -352,3 +352,26 @@ def test_sitemap_chain_takes_few_jobs(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert {r["sitemap_url"]: r["depth"] for r in got} == {f"m{i:04d}": i for i in range(n) if i != 7}
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < n
+
+
+# --- partitions of rows that grow manyfold ------------------------------------------------
+
+def test_spread_bounds_the_rows_of_a_partition(spark):
+    from urlsieve.session import spread
+
+    few = spark.range(1000).coalesce(1)
+    sizes = spread(few, 20).rdd.glom().map(len).collect()
+    assert len(sizes) == 50 and max(sizes) <= 40
+    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(spark.range(0, 1000, 1, 70), 20).rdd.getNumPartitions() == 70
+
+
+def test_pieces_of_urls_stay_in_as_many_partitions(spark):
+    rows = spark.range(64).selectExpr("id", "concat('http://h', id, '.com/') AS url").repartition(16)
+    weights = spark.createDataFrame([("htt", 1.0)], "gram string, weight double")
+    assert X.block_weights(rows, weights, ("id",)).rdd.getNumPartitions() == 16
+
+
+def test_pieces_of_pages_stay_in_as_many_partitions(spark):
+    rows = spark.range(64).selectExpr("id", "concat('<p>', id, '</p>') AS h").repartition(16)
+    assert P.ngram_counts(rows, "id", "h").rdd.getNumPartitions() == 16

@@ -14,7 +14,7 @@ from urlsieve.functions.text import strip
 from urlsieve.operators import features as FE, pages as P
 from urlsieve.operators.lookups import lookup_join
 from urlsieve.operators.models import URL_NGRAMS
-from urlsieve.session import cut_lineage
+from urlsieve.session import cut_lineage, spread_by
 
 BLOCK = 4
 
@@ -125,7 +125,7 @@ def block_weights(
     stand hot keys. URLs are spread by their key before they are taken apart; with weights small
     enough to broadcast, the pieces are then summed where they are.
     """
-    pieces = df.repartition(*keep).select(*keep, url, F.posexplode(P.char_ngrams(F.col(url), n)).alias("position", "gram"))
+    pieces = spread_by(df, *keep).select(*keep, url, F.posexplode(P.char_ngrams(F.col(url), n)).alias("position", "gram"))
     weighed = lookup_join(pieces, weights.select("gram", "weight"), "gram")
     block = F.floor(F.col("position") / BLOCK).cast("int")
     return weighed.groupBy(*keep, url, block.alias("block")).agg(

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from urlsieve.session import spread
 
 BAD_HOST = "(pills|casino|adult|bets|spam|ads)"
+# pages of one partition: as families of URLs, and as texts
+FAMILY_PAGES, TEXT_PAGES = 1024, 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +75,7 @@ def _family_sql(pieces: tuple[str, ...]) -> str:
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, variant, url, label: the labelled URL table."""
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url"))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url"), FAMILY_PAGES)
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
     base = pages.withColumn("f_host", host).select(
         "page_id",

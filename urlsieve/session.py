@@ -75,11 +75,24 @@ def inline_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[tup
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Give CPU-heavy work at least one partition per core when the input is only a few files.
 
-    Large inputs come in more partitions than there are cores and pass through unchanged, so no
+    ``rows`` is for rows that grow manyfold (a page into URLs, texts into pieces, URLs into vectors that
+    training keeps): partitions then hold about that many of them, however large the input. It costs a count,
+    which Parquet answers from its footers. Inputs in enough partitions pass through unchanged, so no
     shuffle is added where it would cost something.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if rows is not None:
+        wanted = max(wanted, -(-df.count() // rows))
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Bring keys together in as many partitions as there were.
+
+    The number is named because adaptive execution would join parts by the size they have before they grow.
+    """
+    parts = max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
