@@ -11,6 +11,7 @@ from urlsieve import constants as K
 from urlsieve.functions import urls as U
 from urlsieve.functions.text import strip, text
 from urlsieve.operators.lookups import lookup_join
+from urlsieve.session import spread_by
 
 WS = K.WHITESPACE_CLASS
 
@@ -67,7 +68,7 @@ def exploded_ngrams(
 def ngram_counts(df: DataFrame, key: str, content: str, sizes: Sequence[int] = K.NGRAM_SIZES) -> DataFrame:
     """key, gram, n per row. Rows are spread by key before they are blown up, so the many grams
     of a page are counted where they are and never cross the network."""
-    spread = df.select(key, content).repartition(key)
+    spread = spread_by(df.select(key, content), key)
     return exploded_ngrams(spread, (key,), content, sizes).groupBy(key, "gram").agg(
         F.count("*").alias("n"))
 

@@ -11,7 +11,7 @@ from urlsieve.operators import crawl as C
 from urlsieve.operators import pages as P
 from urlsieve.plans import sqlkit as Q
 from urlsieve.plans.registry import query
-from urlsieve.plans.tables import BAD_HOST, pages_table, table
+from urlsieve.plans.tables import BAD_HOST, TEXT_PAGES, pages_table, table
 from urlsieve.plans.url_queries import RULES, rule_suffix_ctes
 from urlsieve.session import spread
 
@@ -23,7 +23,7 @@ def clean_sql(html: str) -> str:
 
 
 def _clean(spark, sf):
-    return spread(table(spark, sf, "pages").select("page_id", "html")).select("page_id", P.normalize_html(F.col("html")).alias("h"))
+    return spread(table(spark, sf, "pages").select("page_id", "html"), TEXT_PAGES).select("page_id", P.normalize_html(F.col("html")).alias("h"))
 
 
 @query("html_scan", f"""SELECT page_id, html, CASE WHEN regexp_matches(regexp_extract(url, '://([^/?#]*)', 1), '{BAD_HOST}') THEN 'phish' ELSE 'benign' END AS label FROM pages""")
