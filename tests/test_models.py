@@ -67,3 +67,26 @@ def test_attributions_add_up_to_the_log_odds(spark):
         got = {r["id"]: r["z"] for r in parts.groupBy("id").agg(F.sum("attribution").alias("z")).collect()}
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
         assert parts.where("kind = 'lexical'").count() == 62 * len(K.LEXICAL_FEATURES)
+
+
+def test_page_vectors_are_those_of_hashing_tf(spark):
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.sql import functions as F
+
+    from urlsieve.operators import pages as P
+
+    texts = ["<p>abc abc</p>", "", None, "ab", "abc", "žluťoučký kůň 日本語のページ 😀😀😀 é", "x" * 500, "a😀b" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, html string")
+    grams = df.withColumn("grams", P.all_ngrams(P.normalize_html(F.col("html"))))
+    for bits in (6, 20):
+        counts = HashingTF(inputCol="grams", outputCol="counts", numFeatures=1 << bits).transform(grams)
+        want = {r["id"]: r["v"] for r in Normalizer(inputCol="counts", outputCol="v", p=2.0).transform(counts).select("id", "v").collect()}
+        got = {r["id"]: r["features"] for r in MD.page_features(df, bits=bits).select("id", "features").collect()}
+        assert got == want
+
+
+def test_page_vectors_leave_the_jvm_once(spark):
+    """Pieces are neither listed as strings nor sent through a row-wise function."""
+    df = spark.createDataFrame([(1, "<p>abc</p>")], "id int, html string")
+    plan = MD.page_features(df)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "BatchEvalPython" not in plan

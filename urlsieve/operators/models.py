@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel, Transformer
+import pyarrow as pa
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,20 +64,94 @@ def train_trees(
     return PipelineModel(stages=[assembler, model])
 
 
+# how a vector column lies in Arrow
+_VECTOR = pa.struct([
+    pa.field("type", pa.int8(), False), pa.field("size", pa.int32()),
+    pa.field("indices", pa.list_(pa.field("element", pa.int32(), False))),
+    pa.field("values", pa.list_(pa.field("element", pa.float64(), False))),
+])
+# pieces that are hashed at a time
+_CHUNK = 1 << 20
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+
+
+def _mixed(k: np.ndarray) -> np.ndarray:
+    return _rotated(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+
+
+def murmur3(data: np.ndarray, begin: np.ndarray, length: int, seed: int = 42) -> np.ndarray:
+    """The 32-bit hash that ``HashingTF`` takes, of the ``length`` bytes from each of the places ``begin``."""
+    def word(at: int, n: int) -> np.ndarray:
+        return sum((data[begin + (at + i)].astype(np.uint32) << np.uint32(8 * i) for i in range(n)), np.uint32(0))
+
+    h = np.full(len(begin), seed, np.uint32)
+    whole = length - length % 4
+    for at in range(0, whole, 4):
+        h = _rotated(h ^ _mixed(word(at, 4)), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    if length > whole:
+        h ^= _mixed(word(whole, length - whole))
+    h ^= np.uint32(length)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
+
+
+def piece_counts(text: bytes, sizes: Sequence[int], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash cells of all pieces of a UTF-8 text, ascending, and how many pieces each holds."""
+    data = np.frombuffer(text, np.uint8)
+    starts = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of characters
+    cells, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for n in sizes:
+        for first in range(0, len(starts) - n, _CHUNK):
+            begin = starts[first:min(first + _CHUNK, len(starts) - n)]
+            length = starts[first + n:first + n + len(begin)] - begin
+            hashes = [murmur3(data, begin[length == k], int(k)) for k in np.flatnonzero(np.bincount(length))]
+            found = np.unique(np.concatenate(hashes) & np.uint32((1 << bits) - 1), return_counts=True)
+            cells.append(found[0])
+            counts.append(found[1])
+    distinct, at = np.unique(np.concatenate(cells), return_inverse=True)
+    return distinct, np.bincount(at, np.concatenate(counts), len(distinct))
+
+
+def piece_vectors(sizes: Sequence[int], bits: int) -> Callable[[pa.Array], pa.Array]:
+    def run(texts: pa.Array) -> pa.Array:
+        cells, values, ends = [], [], [0]
+        for text in texts.cast(pa.binary()):
+            cell, n = piece_counts(text.as_py() or b"", sizes, bits)
+            cells.append(cell)
+            values.append(n / max(np.sqrt((n * n).sum()), 1.0))
+            ends.append(ends[-1] + len(cell))
+        ends = pa.array(ends, pa.int32())
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        return pa.StructArray.from_arrays([
+            pa.array(np.zeros(len(texts), np.int8)), pa.array(np.full(len(texts), 1 << bits, np.int32)),
+            pa.ListArray.from_arrays(ends, pa.array(join(cells, np.int32)), type=_VECTOR.field("indices").type),
+            pa.ListArray.from_arrays(ends, pa.array(join(values, np.float64)), type=_VECTOR.field("values").type),
+        ], fields=list(_VECTOR))
+
+    return run
+
+
 def page_features(pages: DataFrame, html: str = "html", bits: int = 20, window: int | None = None) -> DataFrame:
     """Hashed, unit-length counts of the 3- and 4-character pieces of the clean page.
 
-    Counting happens inside the row, so nothing is shuffled.
+    Counting happens inside the row, so nothing is shuffled; cells and values are those of ``HashingTF`` and
+    ``Normalizer``, hashed per page in arrays instead of piece by piece.
     """
-    grams = pages.withColumn("grams", P.all_ngrams(P.normalize_html(F.col(html), window)))
-    return page_vectorizer(bits).transform(grams).drop("grams", "counts")
+    vector = F.arrow_udf(piece_vectors(K.NGRAM_SIZES, bits), VectorUDT())
+    return pages.withColumn("features", vector(P.normalize_html(F.col(html), window)))
 
 
-def page_vectorizer(bits: int) -> Transformer:
-    return PipelineModel(stages=[
-        HashingTF(inputCol="grams", outputCol="counts", numFeatures=1 << bits),
-        Normalizer(inputCol="counts", outputCol="features", p=2.0),
-    ])
+def vector_sizes(vectors: pa.Array) -> pa.Array:
+    """cells, norm: the entries of each sparse vector and the sum of their squares."""
+    values = vectors.field("values")
+    squares = np.append(0.0, np.cumsum(values.flatten().to_numpy(zero_copy_only=False) ** 2))
+    n = values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(n)
+    return pa.StructArray.from_arrays([pa.array(n.astype(np.int32)), pa.array(squares[ends] - squares[ends - n])], ["cells", "norm"])
 
 
 def train_linear(

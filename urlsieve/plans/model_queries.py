@@ -15,9 +15,9 @@ from urlsieve.plans import sqlkit as Q
 from urlsieve.plans.page_queries import html_scan
 from urlsieve.plans.profile_queries import HOSTS
 from urlsieve.plans.registry import query
-from urlsieve.plans.tables import URLS_SQL, urls
+from urlsieve.plans.tables import TEXT_PAGES, URLS_SQL, urls
 from urlsieve.plans.url_queries import STATS_CTE, held_out_rows, training_rows, z_sql
-from urlsieve.session import cut_lineage
+from urlsieve.session import cut_lineage, spread
 
 KEYS = ("page_id", "variant")
 # Cells and iterations of the linear models in these queries; the operators' defaults take eight times as long (README).
@@ -62,7 +62,7 @@ def permutation_importance(spark, sf):
 
 @query("train_html_lr")
 def train_html_lr(spark, sf):
-    pages = html_scan(spark, sf).withColumn("label", (F.col("label") == "phish").cast("int"))
+    pages = spread(html_scan(spark, sf), TEXT_PAGES).withColumn("label", (F.col("label") == "phish").cast("int"))
     model = MD.train_page_model(training_rows(pages), bits=LINEAR_BITS, iterations=LINEAR_ITERATIONS)
     return evaluation(model.transform(MD.page_features(held_out_rows(pages), bits=LINEAR_BITS)))
 
@@ -73,8 +73,8 @@ def html_hashed(spark, sf):
 
     Vectors of 2^20 cells stay sparse: the two numbers are taken from the stored entries.
     """
-    vectors = MD.page_features(html_scan(spark, sf).select("page_id", "html"))
-    sizes = F.udf(lambda v: (int(v.numNonzeros()), float(v.norm(2)) ** 2), "cells int, norm double")
+    vectors = MD.page_features(spread(html_scan(spark, sf).select("page_id", "html"), TEXT_PAGES))
+    sizes = F.arrow_udf(MD.vector_sizes, "cells int, norm double")
     return vectors.select("page_id", sizes("features").alias("v")).select("page_id", "v.cells", F.round("v.norm", 6).alias("norm"))
 
 
