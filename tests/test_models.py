@@ -90,3 +90,20 @@ def test_page_vectors_leave_the_jvm_once(spark):
     df = spark.createDataFrame([(1, "<p>abc</p>")], "id int, html string")
     plan = MD.page_features(df)._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in plan and "BatchEvalPython" not in plan
+
+
+def test_evaluation_scores_rows_once(spark):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from urlsieve.plans import model_queries as Q
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def score(x):
+        seen.add(1)
+        return [1 - x / 40, x / 40]
+
+    rows = spark.range(0, 40, 1, 2).select((F.col("id") % 2).alias("label"), array_to_vector(F.udf(score, "array<double>")("id")).alias("probability"))
+    assert Q.evaluation(rows).count() == 1
+    assert seen.value == 40

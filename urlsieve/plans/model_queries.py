@@ -32,8 +32,8 @@ def split_features(spark, sf):
 
 
 def evaluation(scored, groups=()):
-    """Threshold metrics and areas of scored rows."""
-    rows = scored.select(F.col("label").cast("int").alias("label"), MD.probability_of().alias("score"), *groups)
+    """Threshold metrics and areas of scored rows, which are scored once."""
+    rows = cut_lineage(scored.select(F.col("label").cast("int").alias("label"), MD.probability_of().alias("score"), *groups))
     return M.confusion(rows, groups=groups).crossJoin(F.broadcast(M.curve_areas(rows).select("roc_auc", "pr_auc")))
 
 
