@@ -107,3 +107,15 @@ def test_evaluation_scores_rows_once(spark):
     rows = spark.range(0, 40, 1, 2).select((F.col("id") % 2).alias("label"), array_to_vector(F.udf(score, "array<double>")("id")).alias("probability"))
     assert Q.evaluation(rows).count() == 1
     assert seen.value == 40
+
+
+def test_url_families_are_dealt_by_pages(spark, tmp_path):
+    """A small file becomes many URLs and large vectors, so partitions are bounded by pages, not by bytes."""
+    from pyspark.sql import functions as F
+
+    from urlsieve.plans.tables import FAMILY, FAMILY_PAGES, urls
+
+    n = FAMILY_PAGES * 6
+    spark.range(0, n, 1, 1).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.com/"), "id").alias("url")).write.parquet(f"{tmp_path}/pages.parquet")
+    sizes = [r["count"] for r in urls(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n * len(FAMILY) and max(sizes) <= 1.1 * FAMILY_PAGES * len(FAMILY)
