@@ -119,3 +119,52 @@ def test_url_families_are_dealt_by_pages(spark, tmp_path):
     spark.range(0, n, 1, 1).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.com/"), "id").alias("url")).write.parquet(f"{tmp_path}/pages.parquet")
     sizes = [r["count"] for r in urls(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == n * len(FAMILY) and max(sizes) <= 1.1 * FAMILY_PAGES * len(FAMILY)
+
+
+def test_url_vectors_are_those_of_hashing_tf(spark):
+    from pyspark.ml.feature import HashingTF, VectorAssembler
+    from pyspark.sql import functions as F
+
+    from urlsieve.functions.text import strip
+    from urlsieve.operators import pages as P
+
+    texts = ["http://a.b/abc?abc", "", " \t", "ab", "abc", None, "http://h/é?ü=²%zz", "a\tb\x01\nc", "日本語の😀😀😀", "http://x/" + "ab1-" * 300, "  'q.vn'\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, url string").repartition(2)
+    known = df.where("url IS NOT NULL")
+    stats = FE.feature_stats(FE.lexical_features(known, "url", ("id",)))
+    z = FE.normalize_features(FE.lexical_features(known.withColumn("url", strip(F.col("url"))), "url", ("id", "url")), stats, ("id", "url"))
+    grams = z.withColumn("grams", P.all_ngrams(F.col("url"), MD.URL_NGRAMS))
+    for bits in (5, 18):
+        counts = HashingTF(inputCol="grams", outputCol="counts", numFeatures=1 << bits, binary=True).transform(grams)
+        want = {r["id"]: r["v"] for r in VectorAssembler(inputCols=["counts", *K.LEXICAL_FEATURES], outputCol="v").transform(counts).select("id", "v").collect()}
+        got = {r["id"]: r["features"] for r in MD.url_sequence_features(df, stats, "url", ("id",), bits=bits).collect()}
+        assert got.pop(5).numNonzeros() <= len(K.LEXICAL_FEATURES)
+        assert got == want and all(len(v.indices) == v.numNonzeros() for v in got.values())
+    # texts of one batch are cut into chunks
+    chunk, MD._CHUNK = MD._CHUNK, 64
+    try:
+        import pyarrow as pa
+
+        rows = [t or "" for t in texts]
+        numbers = pa.array([[float(i), 0.0] for i in range(len(rows))])
+        few = MD.url_vectors(MD.URL_NGRAMS, 12)(pa.array(rows), numbers).to_pylist()
+    finally:
+        MD._CHUNK = chunk
+    assert few == MD.url_vectors(MD.URL_NGRAMS, 12)(pa.array(rows), numbers).to_pylist()
+
+
+def test_urls_are_parsed_once_and_hashed_in_arrays(spark, tmp_path):
+    """Training reads URLs many times: their features are stored, and pieces are not listed as strings."""
+    from pyspark.sql import functions as F
+
+    from urlsieve.plans import model_queries as Q
+
+    host = F.concat(F.when(F.col("id") % 3 == 0, "casino").otherwise("site"), "id", F.lit(".com/login?x="), F.col("id") * 7)
+    spark.range(0, 40).select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), host).alias("url")).write.parquet(f"{tmp_path}/pages.parquet")
+    rows, stats, _ = Q._url_model(spark, str(tmp_path))
+    vectors = MD.vectors_of(rows, stats, "url", Q.KEYS, bits=8)
+    plan = vectors._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "parquet" not in plan and vectors.count() == rows.count()
+    want = {r["feature"]: r for r in FE.feature_stats(Q.training_rows(FE.lexical_features(Q.urls(spark, str(tmp_path)), "url", (*Q.KEYS, "label")))).collect()}
+    for r in stats.collect():
+        assert math.isclose(r["mean"], want[r["feature"]]["mean"], abs_tol=1e-9) and math.isclose(r["std"], want[r["feature"]]["std"], abs_tol=1e-9)

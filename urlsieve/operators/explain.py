@@ -93,10 +93,22 @@ def explain_url_model(
     that piece's place). The attributions of a row add up to the model's log-odds. ``keep`` must identify
     a row.
     """
+    cleaned = df.select(*keep, strip(F.col(url)).alias(url))
+    return explain_lexical(model, FE.lexical_features(cleaned, url, (*keep, url)), stats, keep, url, bits)
+
+
+def explain_lexical(
+    model: PipelineModel, lexical: DataFrame, stats: DataFrame, keep: Sequence[str], url: str = "url", bits: int = 18,
+) -> DataFrame:
+    """:func:`explain_url_model` of stripped URLs whose lexical features are there already.
+
+    URLs are spread by their key before they are taken apart; pieces that meet a small index are then grouped where they are.
+    """
     linear = model.stages[-1]
     tail = linear.coefficients.toArray()[1 << bits:]
-    cleaned = df.select(*keep, strip(F.col(url)).alias("_url"))
-    z = FE.normalize_features(FE.lexical_features(cleaned, "_url", (*keep, "_url")), stats, (*keep, "_url"))
+    cleaned = spread_by(lexical.select(*keep, F.col(url).alias("_url")), *keep)
+    z = FE.normalize_features(lexical, stats, keep)
+
     def item(kind: str, name: str, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(None).cast("int").alias("position"), value.alias("attribution"))
 

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,6 +116,16 @@ def piece_counts(text: bytes, sizes: Sequence[int], bits: int) -> tuple[np.ndarr
     return distinct, np.bincount(at, np.concatenate(counts), len(distinct))
 
 
+def sparse_vectors(width: int, ends: Sequence[int], cells: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A column of sparse vectors; ``ends`` (from 0) says where the entries of each begin and end."""
+    ends, n = pa.array(np.asarray(ends, np.int32)), len(ends) - 1
+    return pa.StructArray.from_arrays([
+        pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, width, np.int32)),
+        pa.ListArray.from_arrays(ends, pa.array(cells.astype(np.int32)), type=_VECTOR.field("indices").type),
+        pa.ListArray.from_arrays(ends, pa.array(values.astype(np.float64)), type=_VECTOR.field("values").type),
+    ], fields=list(_VECTOR))
+
+
 def piece_vectors(sizes: Sequence[int], bits: int) -> Callable[[pa.Array], pa.Array]:
     def run(texts: pa.Array) -> pa.Array:
         cells, values, ends = [], [], [0]
@@ -124,13 +134,8 @@ def piece_vectors(sizes: Sequence[int], bits: int) -> Callable[[pa.Array], pa.Ar
             cells.append(cell)
             values.append(n / max(np.sqrt((n * n).sum()), 1.0))
             ends.append(ends[-1] + len(cell))
-        ends = pa.array(ends, pa.int32())
-        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        return pa.StructArray.from_arrays([
-            pa.array(np.zeros(len(texts), np.int8)), pa.array(np.full(len(texts), 1 << bits, np.int32)),
-            pa.ListArray.from_arrays(ends, pa.array(join(cells, np.int32)), type=_VECTOR.field("indices").type),
-            pa.ListArray.from_arrays(ends, pa.array(join(values, np.float64)), type=_VECTOR.field("values").type),
-        ], fields=list(_VECTOR))
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
+        return sparse_vectors(1 << bits, ends, join(cells), join(values))
 
     return run
 
@@ -170,6 +175,49 @@ def train_page_model(
     return train_linear(page_features(weighted, html, bits, window), label, iterations=iterations)
 
 
+def met_cells(data: np.ndarray, row: np.ndarray, sizes: Sequence[int], bits: int, width: int) -> np.ndarray:
+    """``row * width + cell``, ascending, of the hash cells that the pieces of each row's UTF-8 text meet.
+
+    ``data`` holds the texts one after the other, ``row`` the row of each byte.
+    """
+    starts = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of characters
+    of = row[starts[:-1]]
+    met = [np.zeros(0, np.int64)]
+    for n in sizes:
+        first = np.flatnonzero(of[:len(of) - n + 1] == of[n - 1:]) if len(of) >= n else np.zeros(0, int)
+        begin = starts[first]
+        length = starts[first + n] - begin
+        for k in np.flatnonzero(np.bincount(length)):
+            same = length == k
+            cells = murmur3(data, begin[same], int(k)) & np.uint32((1 << bits) - 1)
+            met.append(of[first[same]] * width + cells)
+    met = np.sort(np.concatenate(met))  # several times as fast as np.unique, which hashes
+    return met[np.append(True, met[1:] != met[:-1])] if len(met) else met
+
+
+def url_vectors(sizes: Sequence[int], bits: int) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """Sparse vectors of the cells that a URL's pieces meet (1 each), followed by its numbers."""
+    def run(urls: pa.Array, numbers: pa.Array) -> pa.Array:
+        texts = [u.as_py() or b"" for u in urls.cast(pa.binary())]
+        sizes_of = np.array([len(t) for t in texts], np.int64)
+        tail = numbers.flatten().to_numpy(zero_copy_only=False).reshape(len(texts), -1)
+        width = (1 << bits) + tail.shape[1]
+        part = np.cumsum(sizes_of) // _CHUNK  # about a chunk of bytes at a time
+        keys = [np.zeros(0, np.int64)]
+        for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1):
+            data = np.frombuffer(b"".join(texts[i] for i in rows), np.uint8)
+            keys.append(met_cells(data, np.repeat(rows, sizes_of[rows]), sizes, bits, width))
+        pieces = np.concatenate(keys)
+        at, column = np.nonzero(tail)
+        key = np.append(pieces, at * width + (1 << bits) + column)
+        order = np.argsort(key, kind="stable")
+        value = np.append(np.ones(len(pieces)), tail[at, column])[order]
+        ends = np.append(0, np.cumsum(np.bincount(key // width, minlength=len(texts))))
+        return sparse_vectors(width, ends, key[order] % width, value)
+
+    return run
+
+
 def url_sequence_features(
     df: DataFrame, stats: DataFrame, url: str = "url", keep: tuple[str, ...] = (), bits: int = 18,
     cut: int | None = None,
@@ -180,14 +228,19 @@ def url_sequence_features(
     """
     bare = strip(F.col(url))
     cut = df.withColumn(url, bare if cut is None else F.substring(bare, 1, cut))
-    lexical = FE.lexical_features(cut, url, (*keep, url))
+    return vectors_of(FE.lexical_features(cut, url, (*keep, url)), stats, url, keep, bits)
+
+
+def vectors_of(
+    lexical: DataFrame, stats: DataFrame, url: str = "url", keep: tuple[str, ...] = (), bits: int = 18,
+) -> DataFrame:
+    """:func:`url_sequence_features` of stripped URLs whose lexical features are there already.
+
+    Cells and values are those of a binary ``HashingTF`` and ``VectorAssembler``, made per batch in arrays.
+    """
     z = FE.normalize_features(lexical, stats, (*keep, url))
-    grams = z.withColumn("grams", P.all_ngrams(F.col(url), URL_NGRAMS))
-    stages = PipelineModel(stages=[
-        HashingTF(inputCol="grams", outputCol="counts", numFeatures=1 << bits, binary=True),
-        VectorAssembler(inputCols=["counts", *K.LEXICAL_FEATURES], outputCol="features"),
-    ])
-    return stages.transform(grams).select(*keep, url, "features")
+    vector = F.arrow_udf(url_vectors(URL_NGRAMS, bits), VectorUDT())
+    return z.select(*keep, url, vector(F.col(url), F.array(*K.LEXICAL_FEATURES)).alias("features"))
 
 
 def train_url_model(
@@ -195,8 +248,13 @@ def train_url_model(
     epsilon: float = K.LABEL_SMOOTHING, iterations: int = 20,
 ) -> PipelineModel:
     """Linear model on URL character pieces and lexical features with smoothed labels."""
-    _, pos_weight = class_weights(df, label)
-    vectors = url_sequence_features(df, stats, url, (label,), bits)
+    return train_on_vectors(url_sequence_features(df, stats, url, (label,), bits), label, epsilon, iterations)
+
+
+def train_on_vectors(
+    vectors: DataFrame, label: str = "label", epsilon: float = K.LABEL_SMOOTHING, iterations: int = 20,
+) -> PipelineModel:
+    _, pos_weight = class_weights(vectors, label)
     smoothed = M.smoothed_rows(vectors, label, pos_weight, epsilon)
     return train_linear(smoothed, label, iterations=iterations)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from urlsieve import constants as K
 from urlsieve.functions import registry
+from urlsieve.functions.text import strip
 from urlsieve.operators import explain as X
 from urlsieve.operators import features as FE
 from urlsieve.operators import metrics as M
@@ -79,22 +80,31 @@ def html_hashed(spark, sf):
 
 
 def _url_model(spark, sf):
-    rows = urls(spark, sf)
-    stats = cut_lineage(FE.feature_stats(training_rows(FE.lexical_features(rows, "url", (*KEYS, "label")))))
-    return rows, stats, MD.train_url_model(training_rows(rows), stats, bits=LINEAR_BITS, iterations=LINEAR_ITERATIONS)
+    """Stripped URLs with their lexical features, which are read from many times, their statistics and the fitted model."""
+    bare = strip(F.col("url"))
+    rows = urls(spark, sf).select(*KEYS, "label", "url", bare.alias("bare"), (F.col("url") == bare).alias("as_is"))
+    keep = (*KEYS, "label")
+    stripped = rows.select(*keep, "as_is", F.col("bare").alias("url"))
+    lexical = cut_lineage(FE.lexical_features(stripped, "url", (*keep, "as_is", "url")))
+    # the statistics are of URLs as they come, so those that stripping changes are parsed again
+    seen = lexical.where("as_is").drop("as_is", "url").unionByName(FE.lexical_features(rows.where("NOT as_is"), "url", keep))
+    stats = cut_lineage(FE.feature_stats(training_rows(seen)))
+    vectors = MD.vectors_of(training_rows(lexical), stats, "url", ("label",), bits=LINEAR_BITS)
+    model = MD.train_on_vectors(vectors, iterations=LINEAR_ITERATIONS)
+    return lexical, stats, model
 
 
 @query("train_char_lr")
 def train_char_lr(spark, sf):
     rows, stats, model = _url_model(spark, sf)
-    return evaluation(model.transform(MD.url_sequence_features(held_out_rows(rows), stats, "url", ("label",), bits=LINEAR_BITS)))
+    return evaluation(model.transform(MD.vectors_of(held_out_rows(rows), stats, "url", ("label",), bits=LINEAR_BITS)))
 
 
 @query("score_urls")
 def score_urls(spark, sf):
     rows, stats, model = _url_model(spark, sf)
-    vectors = MD.url_sequence_features(rows, stats, "url", KEYS, bits=LINEAR_BITS)
-    return MD.score_frame(model.transform(vectors), 0.5, (*KEYS, "url"))
+    scored = model.transform(MD.vectors_of(rows, stats, "url", KEYS, bits=LINEAR_BITS))
+    return MD.score_frame(scored, 0.5, (*KEYS, "url"))
 
 
 # --- explanations -------------------------------------------------------------------------
@@ -103,7 +113,7 @@ def score_urls(spark, sf):
 def explain_url_model(spark, sf):
     """Every attribution of the fitted URL model; with the base value they add up to the log-odds."""
     rows, stats, model = _url_model(spark, sf)
-    return X.explain_url_model(model, rows, stats, KEYS, bits=LINEAR_BITS)
+    return X.explain_lexical(model, rows, stats, KEYS, bits=LINEAR_BITS)
 
 
 _TALL = " UNION ALL ".join(
