@@ -168,3 +168,24 @@ def test_urls_are_parsed_once_and_hashed_in_arrays(spark, tmp_path):
     want = {r["feature"]: r for r in FE.feature_stats(Q.training_rows(FE.lexical_features(Q.urls(spark, str(tmp_path)), "url", (*Q.KEYS, "label")))).collect()}
     for r in stats.collect():
         assert math.isclose(r["mean"], want[r["feature"]]["mean"], abs_tol=1e-9) and math.isclose(r["std"], want[r["feature"]]["std"], abs_tol=1e-9)
+
+
+def test_tree_rows_are_split_before_urls_are_taken_apart(spark, tmp_path, monkeypatch):
+    """The split reads its rows several times; stored partitions follow pages, and rows and splits stay as they were."""
+    from pyspark.sql import functions as F
+
+    from urlsieve.operators import splits as S
+    from urlsieve.plans import model_queries as Q
+    from urlsieve.plans.tables import FAMILY, FAMILY_PAGES
+
+    n = FAMILY_PAGES * 5
+    host = F.concat(F.when(F.col("id") % 3 == 0, "casino").otherwise("site"), "id", F.lit(".com/a"))
+    spark.range(0, n, 1, 1).select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), host).alias("url")).write.parquet(f"{tmp_path}/pages.parquet")
+    seen, plain = [], FE.tabular_features
+    monkeypatch.setattr(FE, "tabular_features", lambda df, *rest: seen.append(df.columns) or plain(df, *rest))
+    rows = Q.split_features(spark, str(tmp_path))
+    assert seen == [["page_id", "variant", "url", "label", "split"]]
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n * len(FAMILY) and max(sizes) <= 1.1 * FAMILY_PAGES * len(FAMILY)
+    want = S.random_split(Q.urls(spark, str(tmp_path)), Q.KEYS).select(*Q.KEYS, "label", "split")
+    assert rows.select(want.columns).exceptAll(want).isEmpty()

@@ -27,9 +27,12 @@ WITH = "WITH " + URLS_SQL
 
 
 def split_features(spark, sf):
-    """The tabular features with label and split; a table that training reads many times."""
-    parts = S.random_split(FE.tabular_features(urls(spark, sf), "url", (*KEYS, "label")), KEYS)
-    return cut_lineage(parts)
+    """The tabular features with label and split; a table that training reads many times.
+
+    The split reads its rows three times, so URLs are taken apart after it.
+    """
+    parts = S.random_split(urls(spark, sf), KEYS)
+    return cut_lineage(FE.tabular_features(parts, "url", (*KEYS, "label", "split")))
 
 
 def evaluation(scored, groups=()):
