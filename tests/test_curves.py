@@ -92,3 +92,14 @@ def test_results_by_split(spark, tmp_path):
         stored = spark.read.parquet(path)
         assert stored.count() == 18 and {r["roc_auc"] for r in stored.where("mode = 'domain'").collect()} == {0.5}
         assert stored.where("mode = 'random'").count() == 9 and stored.where("mode = 'random' and roc_auc = 0.5").count() == 0
+
+
+def test_tables_of_cells_stay_small(spark, monkeypatch):
+    """Splitting a crowded cell gives 256 children, not one for nearly every score."""
+    tables, plain = [], curves.cut_lineage
+    monkeypatch.setattr(curves, "cut_lineage", lambda df: tables.append(plain(df)) or tables[-1])
+    df = spark.range(0, 20_000).select((0.5 + F.col("id") / 1e6).alias("score"), (F.col("id") % 2).cast("int").alias("label"))
+    rows = curves.running_counts(curves.score_counts(df, "score", "label"), (), 1000)
+    assert max(t.count() for t in tables[1:]) <= 256
+    got = rows.where("tp + fp = 20000").select("threshold", "tp", "n_pos", "n_neg").collect()
+    assert [tuple(r) for r in got] == [(0.5, 10_000, 10_000, 10_000)]

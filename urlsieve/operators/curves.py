@@ -1,9 +1,10 @@
 """Exact running totals over scores by a radix histogram, for any number of rows and groups.
 
-A score's bits, read as a number that grows with the score, are cut into digits of 16 bits. Counts per
-(cell, label) are mergeable, and their running sums over a cell's at most 65,536 children are cheap. Cells
-that hold too many distinct scores are split by their next digit, and only those; after four digits a
-cell is one score. So what an ordinary window has to order is bounded, however scores crowd together.
+A score's bits, read as a number that grows with the score, are cut into a digit of 16 bits and six of 8.
+Counts per (cell, label) are mergeable, and their running sums over a cell's children (65,536 at first, then
+256) are cheap. Cells that hold too many distinct scores are split by their next digit, and only those; after
+the last digit a cell is one score. So what an ordinary window has to order is bounded, however scores crowd
+together, and tables of cells stay small: only a cell of very many scores has 256 children.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from urlsieve.operators.lookups import lookup_join
 from urlsieve.session import cut_lineage
 
-DIGIT, WIDTH = 16, 64
+#: bits below the first digit, then below each further one
+LEVELS = (48, 40, 32, 24, 16, 8, 0)
 #: distinct scores that one window may order
 CELL_SCORES = 1 << 17
 _INFINITE = 0x7FF << 52
@@ -56,20 +58,19 @@ def running_counts(counts: DataFrame, groups: Sequence[str] = (), cell_scores: i
 
     NULL is a group like any other.
     """
-    group = F.to_json(F.struct(*groups)) if groups else F.lit("")
     todo = counts.withColumns({
-        "_key": ordered_bits(F.col("threshold")), "_in": group, "_tp": F.lit(0).cast("long"), "_fp": F.lit(0).cast("long"),
+        "_key": ordered_bits(F.col("threshold")), "_tp": F.lit(0).cast("long"), "_fp": F.lit(0).cast("long"),
         "n_pos": F.lit(None).cast("long"), "n_neg": F.lit(None).cast("long"),
     })
     settled: list[DataFrame] = []
-    for bits in range(WIDTH - DIGIT, -1, -DIGIT):
+    for i, bits in enumerate(LEVELS):
         # children of the cells that are still open, with what lies above them inside their parent
-        todo = todo.withColumn("_at", F.concat("_in", F.lit("/"), F.shiftright("_key", bits).cast("string")))
-        cells = todo.groupBy("_in", "_at", F.shiftright("_key", bits).alias("_digit")).agg(
-            F.count("*").alias("_n"), F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg")
-        )
-        above = Window.partitionBy("_in").orderBy(F.desc("_digit")).rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy("_in")
+        todo = todo.withColumn("_at", F.struct(*groups, F.lit(bits).alias("_bits"), F.shiftright("_key", bits).alias("_cell")))
+        cells = todo.groupBy("_at").agg(F.count("*").alias("_n"), F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+        cell = F.col("_at")["_cell"]
+        parent = [*(F.col("_at")[g] for g in groups), F.shiftright(cell, LEVELS[i - 1] - bits) if i else F.lit(0)]
+        above = Window.partitionBy(*parent).orderBy(cell.desc()).rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*parent)
         table = cut_lineage(cells.select(
             "_at", "_n", F.coalesce(F.sum("_pos").over(above), F.lit(0)).alias("_more_pos"),
             F.coalesce(F.sum("_neg").over(above), F.lit(0)).alias("_more_neg"),
@@ -78,7 +79,7 @@ def running_counts(counts: DataFrame, groups: Sequence[str] = (), cell_scores: i
         met = lookup_join(todo, table, "_at")
         open_cell = F.col("_n") > cell_scores
         stepped = met.select(
-            *counts.columns, "_key", F.col("_at").alias("_in"), (F.col("_tp") + F.col("_more_pos")).alias("_tp"),
+            *counts.columns, "_key", "_at", (F.col("_tp") + F.col("_more_pos")).alias("_tp"),
             (F.col("_fp") + F.col("_more_neg")).alias("_fp"), F.coalesce("n_pos", "_all_pos").alias("n_pos"),
             F.coalesce("n_neg", "_all_neg").alias("n_neg"), open_cell.alias("_open"),
         )
@@ -90,7 +91,9 @@ def running_counts(counts: DataFrame, groups: Sequence[str] = (), cell_scores: i
     rows = settled[0]
     for part in settled[1:]:
         rows = rows.unionByName(part)
-    inside = Window.partitionBy("_in").orderBy(F.desc("_key"), F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    # the cell comes first: it tells rows apart at the first comparison of the sort
+    cell = [F.col("_at")["_cell"], F.col("_at")["_bits"], *groups]
+    inside = Window.partitionBy(*cell).orderBy(F.desc("_key"), F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     return rows.select(
         *counts.columns, (F.col("_tp") + F.sum("pos").over(inside)).alias("tp"),
         (F.col("_fp") + F.sum("neg").over(inside)).alias("fp"), "n_pos", "n_neg",
