@@ -7,6 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from urlsieve.operators import profile as P, scanlog as L
+from urlsieve.plans import feed_queries
 from urlsieve.sources import feeds, readers, writers
 from urlsieve.streaming import jobs
 from urlsieve.streaming.state import StateTable, UrlHistory
@@ -16,6 +17,36 @@ def urls_of(df):
     return sorted(r["url"] for r in df.collect())
 
 
+def test_source_summary_reads_each_feed_once(spark):
+    sources = [feeds.Source("a", "txt_lines"), feeds.Source("off", "txt_lines", default_on=False), feeds.Source("b", "domain_list")]
+    frames = {"a": ["http://x.vn/", "http://x.vn/", "# no", "https://both/", "https://d.org/"], "b": ["0.0.0.0 d.org", "! no.t", "e.org", "e.org", "plain"]}
+    active = feeds.active_sources(sources)
+    union = feeds.union_sources(active, {n: spark.createDataFrame([(v,) for v in vs], "value string") for n, vs in frames.items()})
+    summary = feeds.source_summary(union, sources, active)
+    assert [tuple(r) for r in summary.collect()] == [
+        ("a", "OK", 4, 3, 1, 33.333333), ("off", "skipped", 0, 0, 0, 0.0), ("b", "OK", 3, 1, 0, 0.0), ("TOTAL", "", 7, 4, 1, 25.0)]
+    empty = feeds.source_summary(union.where("false"), sources, active)
+    assert [tuple(r)[2:] for r in empty.collect()] == [(0, 0, 0, 0.0)] * 4
+    query = feed_queries.source_summary(spark, "/root/testdata/sf0.001")
+    for df, feeds_read in ((summary, len(active)), (query, len(feed_queries.ACTIVE))):
+        assert df._jdf.queryExecution().optimizedPlan().collectLeaves().size() == feeds_read
+
+
+def test_filters_do_not_repeat_parsers(spark):
+    lines = spark.range(1).select(F.col("id").cast("string").alias("value"))
+    for parse in (feeds.txt_lines, feeds.domain_list, feeds.strict_domain_list, feeds.url_lines, feeds.json_feed):
+        plan = parse(lines)._jdf.queryExecution().optimizedPlan().toString()
+        kept = [line for line in plan.splitlines() if "Filter" in line]
+        assert kept and not any("trim(" in line or "regexp" in line for line in kept), parse.__name__
+
+
+def test_last_words_of_list_lines(spark):
+    values = ["a.b", " a.b ", "x a.b", "x\ta.b", "x\u2028a.b\u3000", "x.y\na.b", "x.y z", "x\u00a0\u0085 a.b", "", " ", "x\x1ca.b", "# a.b", "a.b #c"]
+    lines = spark.createDataFrame([(v,) for v in values], "value string")
+    assert urls_of(feeds.domain_list(lines)) == ["https://a.b/"] * 8
+    assert urls_of(feeds.strict_domain_list(lines)) == ["https://a.b/"] * 8
+
+
 def test_feed_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("# c\n\n http://a/ \nhttp://b/\n")
     assert urls_of(feeds.txt_lines(readers.read_lines(spark, str(tmp_path / "a.txt")))) == ["http://a/", "http://b/"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from urlsieve import constants as K
 from urlsieve.functions import risk, text as T, urls as U
 from urlsieve.operators import features as FE
+from urlsieve.plans import sqlkit
 
 PROBE = "https://www.Example.com/path/to/file.html?a=1&b=2"
 
@@ -96,6 +97,21 @@ def test_vn_target(spark):
     assert one(rows(spark, urls).select("i", U.is_vn_target(F.col("url")))) == [True, False, True, True, False, True]
 
 
+def test_vn_target_as_spelled_out(spark):
+    """The grouped names and the host that is only parsed where it must be give what the plain definition gives."""
+    names = [n.replace("-?", "-") for n in K.VN_BRANDS] + [n.replace("-?", "") for n in K.VN_BRANDS] + [*K.VN_BRAND_WORDS, "vn-ab", "vnab", "vn-a", "vn"]
+    urls = [shape.format(n) for n in names for shape in ("http://a.{0}.x/", "HTTP://X/{0}", "http://x/a{0}", "http://x/1{0}b", "{0}", "é{0}é", "/{0}_")]
+    urls += [u.upper() for u in urls] + [u.replace("a", "", 1) for u in urls] + [u[:-3] for u in urls]
+    urls += ["http://a.v\tn/", "http://a.vn\n", "http://a.v\rn:80/x", "http://[a.vn]/", "http://[a.vn]x/", "http://[a.vn/", "http://u@[b]c.vn]@a.vn", "http://x.vn@y.z/",
+             "http://u:p@A.VN:8/", "//a.vn", "a.vn", "http://a.vn\\x", "http://a.vn;x/", "\x01http://a.vn", "http://a.vn ", "x:a.vn", "", " ", None]
+    url = F.col("url")
+    plain = url.rlike(U.VN_TLD_PATTERN) | url.rlike(sqlkit.brand_pattern()) | F.endswith(U.hostname(U.split_url(url)["netloc"]), F.lit(".vn"))
+    df = rows(spark, urls)
+    assert df.where(U.is_vn_target(url) != F.coalesce(plain, F.lit(False))).collect() == []
+    assert 0 < df.where(U.is_vn_target(url)).count() < len(urls)
+    assert one(rows(spark, ["http://a.v\tn/", "http://[a.vn]/", "http://a.vn;x/"]).select("i", U.is_vn_target(url))) == [True, True, False]
+
+
 def test_encode(spark):
     urls = ["aZ", "x" * 300, "é", ""]
     a, b, c, d = one(rows(spark, urls).select("i", T.encode(F.col("url"))))

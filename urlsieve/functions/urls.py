@@ -9,6 +9,7 @@ scheme means no host.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -349,7 +350,7 @@ def norm_url(raw: Column) -> Column:
 
 def last_word(line: Column) -> Column:
     """What follows the last white space."""
-    return F.regexp_extract(line, f"([^{K.WHITESPACE_CLASS[1:-1]}]+)$", 1)
+    return F.regexp_replace(line, f"(?s)^.*{K.WHITESPACE_CLASS}", "")
 
 
 def wrap_domain(raw: Column) -> Column:
@@ -367,11 +368,18 @@ def wrap_domain(raw: Column) -> Column:
 
 
 def brand_pattern() -> str:
-    """One pattern for all brand names; word edges are spelled out so every engine agrees."""
+    """One pattern for all brand names; word edges are spelled out so every engine agrees.
+
+    Names are grouped by their first letter and share their edge, so a place in the URL is tried against
+    some 20 branches instead of one for each name.
+    """
     edge_left, edge_right = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
-    words = [f"{edge_left}{w}{edge_right}" for w in K.VN_BRAND_WORDS]
-    starts = [f"{edge_left}{w}" for w in K.VN_BRAND_WORD_STARTS]
-    return "(?i)" + "|".join([*K.VN_BRANDS, *words, *starts])
+    names = [
+        f"{letter}(?:{'|'.join(b[1:] for b in same)})"
+        for letter, same in groupby(sorted(K.VN_BRANDS), key=lambda b: b[0])
+    ]
+    words = f"(?:{'|'.join(K.VN_BRAND_WORDS)}){edge_right}"
+    return "(?i)" + "|".join([*names, edge_left + f"(?:{'|'.join([words, *K.VN_BRAND_WORD_STARTS])})"])
 
 
 VN_TLD_PATTERN = "(?i)\\.vn(?:[:/?#]|$)"
@@ -388,10 +396,15 @@ def vn_flags(url: Column, host: Column) -> dict[str, Column]:
 
 
 def is_vn_target(url: Column) -> Column:
-    """``.vn`` before a delimiter or the end, or a brand name, or a host that ends in ``.vn``."""
+    """``.vn`` before a delimiter or the end, or a brand name, or a host that ends in ``.vn``.
+
+    A host stands in the URL as it is, with a delimiter or the end behind it, unless it holds characters that
+    browsers drop, or brackets; only then is the URL taken apart.
+    """
     by_host = F.endswith(hostname(split_url(url)["netloc"]), text(".vn"))
     return F.coalesce(
-        url.rlike(VN_TLD_PATTERN) | url.rlike(brand_pattern()) | by_host, F.lit(False)
+        url.rlike(VN_TLD_PATTERN) | F.when(url.rlike(r"[\t\r\n\[]"), by_host) | url.rlike(brand_pattern()),
+        F.lit(False),
     )
 
 

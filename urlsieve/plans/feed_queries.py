@@ -169,10 +169,10 @@ FETCHED_AT = "2024-05-01 00:00:00"
 
 
 def _frames(spark, sf):
-    return {
-        "links": lines(spark, sf, TXT), "hosts": lines(spark, sf, HOSTS), "wrapped": lines(spark, sf, WRAP),
-        "quoted": lines(spark, sf, "url"), "objects": page_lines(spark, sf, JSON),
-    }
+    family = urls(spark, sf)
+    made = {"links": TXT, "hosts": HOSTS, "wrapped": WRAP, "quoted": "url"}
+    return {name: family.selectExpr(f"{expression} AS value") for name, expression in made.items()} | {
+        "objects": page_lines(spark, sf, JSON)}
 
 
 UNION = f"""{WITH},
@@ -219,7 +219,7 @@ r AS (SELECT s.source, s.status, (SELECT count(*) FROM feed f WHERE f.source = s
 t AS (SELECT * FROM r UNION ALL SELECT 'TOTAL', '', sum(raw)::BIGINT, sum(added)::BIGINT, sum(vn)::BIGINT FROM r)
 SELECT *, {Q.percent('vn', 'added')} AS vn_pct FROM t""")
 def source_summary(spark, sf):
-    return S.source_summary(_union(spark, sf), _winners(spark, sf), SOURCES, ACTIVE)
+    return S.source_summary(_union(spark, sf), SOURCES, ACTIVE)
 
 
 @query("dedupe_against_existing", f"""{UNION} SELECT url, source FROM win

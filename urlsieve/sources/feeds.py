@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from urlsieve.functions import urls as U
 from urlsieve.functions.text import percent, strip, text
-from urlsieve.session import inline_table
 
 Parser = Callable[[DataFrame], DataFrame]
 
 
 def _present(df: DataFrame, url: Column) -> DataFrame:
-    return df.select(url.alias("url")).where(F.col("url").isNotNull() & (F.col("url") != ""))
+    # the fence keeps the filter from repeating the whole parser in each of its conditions
+    parsed = U.fenced(df.select(url.alias("parsed")), {"url": F.col("parsed")}).select("url")
+    return parsed.where(F.col("url").isNotNull() & (F.col("url") != ""))
 
 
 def txt_lines(lines: DataFrame) -> DataFrame:
@@ -183,23 +184,34 @@ def first_wins(union: DataFrame, sources: Iterable[Source], fetched_at: Column)
 
 
 def source_summary(
-    union: DataFrame, winners: DataFrame, registered: Iterable[Source], active: Iterable[Source]
+    union: DataFrame, registered: Iterable[Source], active: Iterable[Source]
 ) -> DataFrame:
-    """raw, added, vn per source, sources that did not run included, and a ``TOTAL`` row."""
-    running = {s.name for s in active}
-    frame = inline_table(union.sparkSession, ["source", "status"], [
-        (s.name, "OK" if s.name in running else "skipped") for s in registered])
-    raw = union.groupBy("source").agg(F.count("*").alias("raw"))
-    added = winners.groupBy("source").agg(
-        F.count("*").alias("added"), F.sum("is_vn_target").alias("vn"))
-    rows = (
-        frame.join(F.broadcast(raw), "source", "left").join(F.broadcast(added), "source", "left")
-        .fillna(0, ["raw", "added", "vn"])
-    )
-    total = rows.agg(F.sum("raw").alias("raw"), F.sum("added").alias("added"),
-                     F.sum("vn").alias("vn")).select(
-        F.lit("TOTAL").alias("source"), F.lit("").alias("status"), "raw", "added", "vn")
-    return rows.select("source", "status", "raw", "added", "vn").unionByName(total).withColumn(
+    """raw, added, vn per source, sources that did not run included, and a ``TOTAL`` row.
+
+    ``union`` and its priorities are those of ``active``; added and vn count the URLs that ``first_wins`` gives
+    to a source. The feeds are read once: a URL carries how often each source has it, next to its winner.
+    """
+    active = list(active)
+    url = union.groupBy("url").agg(F.min("priority").alias("p"), *(
+        F.count_if(F.col("priority") == i).alias(f"raw{i}") for i in range(len(active))))
+    url = url.withColumn("vn", U.is_vn_target(F.col("url")))
+    sums = url.agg(*(column for i in range(len(active)) for column in (
+        F.coalesce(F.sum(f"raw{i}"), F.lit(0)).alias(f"raw{i}"),
+        F.count_if(F.col("p") == i).alias(f"added{i}"),
+        F.count_if((F.col("p") == i) & F.col("vn")).alias(f"vn{i}"))))
+
+    def total(kind: str, names: Iterable[str]) -> Column:
+        parts = [F.col(f"{kind}{i}") for name in names for i, s in enumerate(active) if s.name == name]
+        return sum(parts, F.lit(0).cast("bigint")).alias(kind)
+
+    def row(source: str, status: str, names: Iterable[str]) -> Column:
+        return F.struct(F.lit(source).alias("source"), F.lit(status).alias("status"),
+                        *(total(kind, names) for kind in ("raw", "added", "vn")))
+
+    registered, running = list(registered), {s.name for s in active}
+    rows = [row(s.name, "OK" if s.name in running else "skipped", [s.name]) for s in registered]
+    rows.append(row("TOTAL", "", [s.name for s in registered]))
+    return sums.select(F.inline(F.array(*rows))).withColumn(
         "vn_pct", percent(F.col("vn"), F.col("added")))
 
 
