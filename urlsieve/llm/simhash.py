@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlsieve.llm.common import free_names
@@ -26,6 +26,7 @@ from urlsieve.session import cut_lineage
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 BLOCK = 1024
+EDGES = 1 << 18  # edges that a task contracts together, 4 MB
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -165,28 +166,57 @@ def _lookup(numbers: dict[int, int], column: str):
     return F.element_at(F.create_map(*pairs), F.col(column))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of an edge: the smallest node it is connected to.
+def contracted(edges: DataFrame, parts: int, most: int = EDGES) -> DataFrame:
+    """``u, v`` (u > v): edges with the classes of ``edges`` (u, v), a spanning forest for each block of them.
 
-    Large-star and small-star steps alternate until nothing changes; each step takes minima per node
-    after map-side combination and is checkpointed, so a lost executor repeats one step.
+    A block is about ``most`` rows of one of ``parts`` partitions; roots are the smallest nodes of a block.
     """
-    here = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def forest() -> pa.RecordBatch:
+            x, y = local_forest(np.concatenate([a for a, _ in block]), np.concatenate([b for _, b in block]))
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["u", "v"])
+
+        block, held = [], 0
+        for batch in batches:
+            block.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            held += batch.num_rows
+            if held >= most:
+                yield forest()
+                block, held = [], 0
+        if held:
+            yield forest()
+
+    return edges.coalesce(parts).mapInArrow(run, "u long, v long")
+
+
+def _both_ways(a: tuple[str, str], b: tuple[str, str]) -> Column:
+    """Two edges out of one row, without reading the rows twice."""
+    return F.inline(F.array(*(F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in (a, b))))
+
+
+def components(edges: DataFrame, most: int = EDGES) -> DataFrame:
+    """``node, root`` for every node of an edge that is not the smallest it is connected to: that smallest node.
+
+    Blocks of edges are contracted where they lie, then large-star and small-star steps link the blocks.
+    It ends when every node has one neighbour or larger ones only, which is a minimum and a maximum per
+    node. Both take map-side combination and each step is checkpointed, so a lost executor repeats one
+    step. Tables between the steps have as many partitions as their rows fill, not as shuffles have:
+    every task and every exchange costs the driver memory.
+    """
+    raw = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    parts = max(edges.sparkSession.sparkContext.defaultParallelism, math.ceil(raw.count() / most))
+    here = cut_lineage(contracted(raw, parts, most))
     while True:
-        both = here.unionByName(here.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        both = here.select(_both_ways(("u", "v"), ("v", "u")))
+        nodes = cut_lineage(both.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).coalesce(parts))
+        if not nodes.where("lo < u AND lo < hi").count():
+            return nodes.where("lo < u").select(F.col("u").alias("node"), F.col("lo").alias("root"))
+        large = both.join(nodes.select("u", F.least("lo", "u").alias("m")), "u").where("v > u").select(
+            F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(small, "u")
-        after = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            linked.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        here = cut_lineage(after)
-        state = here.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if state == before:
-            return here.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+        after = large.join(small, "u").select(_both_ways(("v", "m"), ("u", "m"))).where("u <> v").distinct()
+        here = cut_lineage(contracted(after, parts, most))
 
 
 def near_duplicates(
@@ -225,7 +255,7 @@ def one_per_root(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataF
     (pair,) = free_names(docs, "_pair")
     (state,) = free_names(docs, "_state")
     member = F.concat_ws(":", F.col("_key").cast("string"), F.hex("_text_id"))
-    each = rows.where(F.col("_key").isNotNull()).groupBy("_root", "_key", "_text_id").agg(F.count("*").alias("_n"))
+    each = cut_lineage(rows.where(F.col("_key").isNotNull()).groupBy("_root", "_key", "_text_id").agg(F.count("*").alias("_n")))
     # map-side minima: a large class sends a row per task
     first = each.groupBy(F.col("_root").alias("_class")).agg(F.min(F.struct("_key", "_text_id")).alias("_first"))
     judged = lookup_join(each, first.withColumnRenamed("_class", "_root"), "_root").select(
